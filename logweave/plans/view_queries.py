@@ -1 +1,651 @@
+"""Queries for fields, filters, time, facets, search, live events and export."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweave.functions import fields as f
+from logweave.functions import predicates as p
+from logweave.operators import facets, profile, search, timeline
+from logweave.operators.formats import Layout
+from logweave.operators.parse import parse_lines, read_lines as read_fields
+from logweave.plans import rendering as r
+from logweave.plans.parse_queries import DEFAULT
+from logweave.plans.queries import EVENTS, LINES, query
+from logweave.schema import DISCONNECT, as_entries
+from logweave.session import scratch_path
+from logweave.sources import export, files
+from logweave.streaming import events as live_events
+from logweave.streaming import live, sessions
+
+VIEWS = ["click", "error", "purchase", "signup", "view"]
+
+# --- fields ----------------------------------------------------------------------------------------------
+
+
+@query(
+    "c01_short_loggers",
+    """SELECT p_partkey, 'shop.' || lower(p_type) || '.' || replace(p_brand, '#', '') || '.java:' || p_size AS logger,
+       replace(p_brand, '#', '') || ':' || p_size AS short FROM part""",
+)
+def c01(spark, sf_dir):
+    brand = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    logger = F.concat(F.lit("shop."), F.lower("p_type"), F.lit("."), brand, F.lit(".java:"), "p_size")
+    parts = r.table(spark, sf_dir, "part").select("p_partkey", logger.alias("logger"))
+    return parts.withColumn("short", f.short_logger("logger"))
+
+
+@query(
+    "c02_short_threads",
+    """SELECT p_partkey, 'pool.' || p_size || '.' || p_name || '(a.b)' AS thread, p_name AS short FROM part
+       UNION ALL SELECT p_partkey, p_name, p_name FROM part""",
+)
+def c02(spark, sf_dir):
+    part = r.table(spark, sf_dir, "part")
+    long = F.concat(F.lit("pool."), "p_size", F.lit("."), "p_name", F.lit("(a.b)"))
+    names = part.select("p_partkey", long.alias("thread")).unionAll(part.select("p_partkey", "p_name"))
+    return names.withColumn("short", f.short_thread("thread"))
+
+
+@query("c03_clock_texts", "SELECT event_id, strftime(ts, '%H:%M:%S.%g') AS clock FROM events")
+def c03(spark, sf_dir):
+    return r.table(spark, sf_dir, "events").select("event_id", f.clock_text("ts").alias("clock"))
+
+
+@query(
+    "c04_detail_fields",
+    f"""WITH {EVENTS} SELECT event_id, stamp AS time, lvl AS level, thr AS thread, log AS logger,
+        CASE WHEN ip = '10.0.0.0' THEN NULL ELSE ip END AS ip, source, msg AS message,
+        CAST(CASE WHEN ip = '10.0.0.0' THEN 5 ELSE 6 END AS INTEGER) AS shown FROM ev""",
+)
+def c04(spark, sf_dir):
+    blank = F.when(F.col("ip") == "10.0.0.0", "").otherwise(F.col("ip"))
+    entries = r.event_entries(spark, sf_dir).withColumn("ip", blank)
+    detail = entries.withColumn("detail", f.detail_fields(entries))
+    names = {"Time": "time", "Level": "level", "Thread": "thread", "Logger": "logger", "IP": "ip", "Source": "source"}
+    got = [F.try_element_at("detail", F.lit(k)).alias(v) for k, v in names.items()]
+    return detail.select("event_id", *got, "message", F.size("detail").alias("shown"))
+
+
+@query(
+    "c05_application_names",
+    f"""WITH {EVENTS} SELECT DISTINCT source || (['', '.1', '.2.gz', '.bak'])[1 + event_id % 4] AS name, event_type AS app FROM ev""",
+)
+def c05(spark, sf_dir):
+    rotated = F.element_at(F.array(*[F.lit(x) for x in ("", ".1", ".2.gz", ".bak")]), (F.col("event_id") % 4 + 1).cast("int"))
+    names = r.events(spark, sf_dir).select(F.concat("source", rotated).alias("name")).distinct()
+    return names.withColumn("app", f.app_name("name"))
+
+
+@query("c06_base_names", "SELECT page_id, url, list_extract(string_split(url, '/'), -1) AS name FROM pages")
+def c06(spark, sf_dir):
+    return r.table(spark, sf_dir, "pages").select("page_id", "url", f.base_name("url").alias("name"))
+
+
+@query("c08_safe_file_names", "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9._\\-]', '_', 'g') AS name FROM pages")
+def c08(spark, sf_dir):
+    return r.table(spark, sf_dir, "pages").select("page_id", f.safe_file_name("url").alias("name"))
+
+
+@query(
+    "c09_severity",
+    """SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'error' WHEN '2' THEN 'warn'
+       WHEN '3' THEN 'error' ELSE 'normal' END AS severity FROM orders""",
+)
+def c09(spark, sf_dir):
+    code = F.substring("o_orderpriority", 1, 1)
+    level = F.when(code == "1", "fatal").when(code == "2", "WARNING").when(code == "3", "Error!").otherwise("info")
+    return r.table(spark, sf_dir, "orders").select("o_orderkey", f.severity(level).alias("severity"))
+
+
+@query(
+    "c10_meaningful_values",
+    """SELECT o_orderkey, substr(o_orderpriority, 1, 1) NOT IN ('1', '2', '3') AS meaningful FROM orders""",
+)
+def c10(spark, sf_dir):
+    code = F.substring("o_orderpriority", 1, 1)
+    value = F.when(code == "1", " \t").when(code == "2", " Unknown ").when(code != "3", F.col("o_orderpriority"))
+    return r.table(spark, sf_dir, "orders").select("o_orderkey", f.is_meaningful(value).alias("meaningful"))
+
+
+@query("c11_visible_columns", f"WITH {EVENTS} SELECT ts AS timestamp, lvl AS level, log AS logger, ip, source FROM ev")
+def c11(spark, sf_dir):
+    entries = r.event_entries(spark, sf_dir).withColumn("thread", F.lit("unknown")).withColumn("view", F.lit("all"))
+    return f.visible_columns(entries, profile.presence_of(entries, "all"), {"message": False})
+
+
+@query(
+    "c12_view_titles",
+    """SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'Remote(10.0.0.' || c_nationkey || ':' || (9000 + c_custkey % 10) || ')'
+         ELSE lower(c_mktsegment) || ' (10.0.0.' || c_nationkey || ')' END
+       || CASE WHEN c_custkey % 3 > 1 THEN ' (Auto-Merged)' ELSE '' END AS title FROM customer""",
+)
+def c12(spark, sf_dir):
+    return _clients(spark, sf_dir).select(
+        "c_custkey", f.view_title("app", "ip", "port", sources=F.col("c_custkey") % 3).alias("title")
+    )
+
+
+@query(
+    "c13_level_ranks",
+    """SELECT o_orderkey, CAST(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END
+       AS INTEGER) AS rank FROM orders""",
+)
+def c13(spark, sf_dir):
+    return _leveled(spark, sf_dir).select("o_orderkey", f.level_rank("level").alias("rank"))
+
+
+def _leveled(spark, sf_dir):
+    code = F.substring("o_orderpriority", 1, 1)
+    level = F.when(code == "1", "ERROR").when(code == "2", "warn").when(code == "3", "INFO").when(code == "4", "TRACE")
+    return r.table(spark, sf_dir, "orders").select("o_orderkey", level.otherwise("DEBUG").alias("level"))
+
+
+@query("c14_epoch_millis", "SELECT event_id, date_trunc('milliseconds', ts) AS timestamp FROM events")
+def c14(spark, sf_dir):
+    return r.events(spark, sf_dir).select("event_id", f.from_epoch_millis(_millis("ts")).alias("timestamp"))
+
+
+def _millis(ts):
+    """Epoch milliseconds of a wall-clock time read as UTC."""
+    from logweave.operators.ordered import wall_seconds
+
+    return wall_seconds(ts) * 1000 + F.substring(f.full_time_text(ts), 21, 3).cast("long")
+
+
+# --- filters ---------------------------------------------------------------------------------------------
+
+_SHOWN = "event_id, ts AS timestamp, lvl AS level, thr AS thread, log AS logger, ip, msg AS message, source"
+_COLUMNS = ["event_id", "timestamp", "level", "thread", "logger", "ip", "message", "source"]
+
+
+@query(
+    "d01_selected_values",
+    f"WITH {EVENTS} SELECT {_SHOWN} FROM ev WHERE lvl IN ('ERROR', 'WARN') AND event_type IN ('error', 'view') AND ip IN ('10.0.0.1', '10.0.0.2')",
+)
+def d01(spark, sf_dir):
+    chosen = {"level": ["ERROR", "WARN"], "logger": ["error", "view"], "ip": ["10.0.0.1", "10.0.0.2"], "thread": []}
+    return p.filter_entries(r.event_entries(spark, sf_dir), chosen).select(*_COLUMNS)
+
+
+@query("d01_large_selection", f"WITH {EVENTS} SELECT {_SHOWN} FROM ev WHERE user_id IN (SELECT c_custkey FROM customer)")
+def d01_large(spark, sf_dir):
+    names = r.table(spark, sf_dir, "customer").select(F.concat(F.lit("user-"), "c_custkey").alias("name"))
+    return p.semi_selection(r.event_entries(spark, sf_dir), f.short_thread("thread"), names).select(*_COLUMNS)
+
+
+@query("d02_message_regex", f"WITH {EVENTS} SELECT {_SHOWN} FROM ev WHERE regexp_matches(msg, '\"k\": [1-3]\\d}}')")
+def d02(spark, sf_dir):
+    return p.filter_entries(r.event_entries(spark, sf_dir), message=r'"k": [1-3]\d}').select(*_COLUMNS)
+
+
+@query(
+    "d03_all_filters",
+    f"WITH {EVENTS} SELECT {_SHOWN} FROM ev WHERE lvl = 'INFO' AND thr IN ('user-1', 'user-2', 'user-3') AND contains(msg, '7')",
+)
+def d03(spark, sf_dir):
+    chosen = {"level": ["INFO"], "thread": ["user-1", "user-2", "user-3"], "source": [], "ip": ["a", "b"]}
+    entries = r.event_entries(spark, sf_dir)
+    return p.filter_entries(entries, chosen, message="7", domains={"ip": ["a", "b"]}).select(*_COLUMNS)
+
+
+@query(
+    "d04_text_search",
+    """SELECT doc_id, regexp_matches(text, '(?i)the') OR regexp_matches(lang, '(?i)the') AS hit,
+       regexp_matches(text, '(?i)\\bthe\\b') AS word FROM documents""",
+)
+def d04(spark, sf_dir):
+    docs = r.table(spark, sf_dir, "documents").withColumnsRenamed({"text": "message", "lang": "level"})
+    return docs.select(
+        "doc_id", p.text_match("THE", ["message", "level"]).alias("hit"), p.text_match("The", whole_word=True).alias("word")
+    )
+
+
+@query("d08_at_least_warn", "SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2')")
+def d08(spark, sf_dir):
+    return _leveled(spark, sf_dir).filter(p.at_least("level", "WARN")).select("o_orderkey")
+
+
+@query("d09_timed_views", "SELECT event_type AS view, event_type <> 'click' AS timed FROM events GROUP BY event_type")
+def d09(spark, sf_dir):
+    entries = r.event_entries(spark, sf_dir)
+    entries = entries.withColumn("timestamp", F.when(F.col("view") != "click", F.col("timestamp")))
+    return p.has_times(entries)
+
+
+# --- time ------------------------------------------------------------------------------------------------
+
+_ASOF = """
+SELECT a.event_id AS anchor_id, a.ts AS anchor_ts, v.view, coalesce(n.ts, z.ts) AS timestamp,
+       coalesce(n.event_id, z.event_id) AS event_id, n.ts IS NULL AS clamped
+FROM (SELECT * FROM ev WHERE {anchors}) a
+JOIN (SELECT DISTINCT view FROM ev) v ON v.view <> a.view
+ASOF LEFT JOIN (SELECT view, ts, event_id FROM ev) n ON n.view = v.view AND a.ts <= n.ts
+JOIN (SELECT view, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM ev GROUP BY view) z ON z.view = v.view"""
+
+
+def _synced(entries, chosen):
+    anchors = timeline.anchors_from(entries, chosen, key="event_id")
+    found = timeline.sync_views(entries, anchors, VIEWS, key="event_id", bucket_seconds=3600)
+    return found.select("anchor_id", "anchor_ts", "view", "timestamp", "event_id", "clamped")
+
+
+@query("e01_synced_views", f"WITH {EVENTS} {_ASOF.format(anchors='true')}")
+def e01(spark, sf_dir):
+    return _synced(r.event_entries(spark, sf_dir), F.lit(True))
+
+
+@query("e02_synced_to_rows", f"WITH {EVENTS} {_ASOF.format(anchors=chr(39) + 'ERROR' + chr(39) + ' = lvl AND user_id < 40')}")
+def e02(spark, sf_dir):
+    chosen = (F.col("level") == "ERROR") & (F.substring_index("thread", "-", -1).cast("int") < 40)
+    return _synced(r.event_entries(spark, sf_dir), chosen)
+
+
+@query(
+    "e01_synced_to_one_time",
+    f"""WITH {EVENTS}, v AS (SELECT * FROM ev WHERE view <> 'error')
+    SELECT view, coalesce(min(ts) FILTER (ts >= TIMESTAMP '2024-01-30 23:30:00'), max(ts)) AS timestamp,
+           coalesce(arg_min(event_id, ts) FILTER (ts >= TIMESTAMP '2024-01-30 23:30:00'), arg_max(event_id, ts)) AS event_id,
+           count(*) FILTER (ts >= TIMESTAMP '2024-01-30 23:30:00') = 0 AS clamped FROM v GROUP BY view""",
+)
+def e01_one(spark, sf_dir):
+    return timeline.sync_to(r.event_entries(spark, sf_dir), "2024-01-30 23:30:00", source_view="error", key="event_id")
+
+
+def _clients(spark, sf_dir):
+    nation = F.col("c_nationkey")
+    return r.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(nation < 5, "RemoteApp").otherwise(F.lower("c_mktsegment")).alias("app"),
+        F.concat(F.lit("10.0.0."), nation).alias("ip"),
+        (F.col("c_custkey") % 10 + 9000).cast("int").alias("port"),
+    )
+
+
+@query(
+    "e03_found_views",
+    """
+    WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'RemoteApp' ELSE lower(c_mktsegment) END AS app,
+                      '10.0.0.' || c_nationkey AS ip, 9000 + c_custkey % 10 AS port FROM customer),
+    v AS (SELECT s_name AS view, s_suppkey AS position,
+                 CASE WHEN s_nationkey < 5 THEN 'RemoteApp'
+                      ELSE (['household', 'machinery', 'furniture', 'building', 'automobile'])[1 + s_suppkey % 5] END AS app,
+                 '10.0.0.' || s_nationkey AS ip, 9000 + s_suppkey % 10 AS port FROM supplier),
+    k AS (SELECT app, ip, CASE WHEN app = 'RemoteApp' THEN port ELSE -1 END AS port, arg_min(view, position) AS view FROM v GROUP BY ALL)
+    SELECT c_custkey, k.view FROM c LEFT JOIN k ON k.app = c.app AND k.ip = c.ip
+      AND k.port = CASE WHEN c.app = 'RemoteApp' THEN c.port ELSE -1 END""",
+)
+def e03(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("household", "machinery", "furniture", "building", "automobile")])
+    nation = F.col("s_nationkey")
+    views = r.table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("view"),
+        F.col("s_suppkey").alias("position"),
+        F.when(nation < 5, "RemoteApp").otherwise(F.element_at(names, (F.col("s_suppkey") % 5 + 1).cast("int"))).alias("app"),
+        F.concat(F.lit("10.0.0."), nation).alias("ip"),
+        (F.col("s_suppkey") % 10 + 9000).cast("int").alias("port"),
+    )
+    return timeline.find_views(_clients(spark, sf_dir), views).select("c_custkey", "view")
+
+
+@query(
+    "h01_chronological",
+    f"""WITH {LINES}, first AS (SELECT source, min(ts_ms) AS sort_ts FROM ln GROUP BY source)
+    SELECT source, NULL::TIMESTAMP AS timestamp, sort_ts, 'log of ' || source AS message FROM first
+    UNION ALL SELECT source, ts_ms, ts_ms, msg FROM ln""",
+)
+def h01(spark, sf_dir):
+    lines = r.event_lines(spark, sf_dir)
+    sources = lines.select("source_path", "source").distinct()
+    header = sources.select(
+        "source_path", "source", F.lit(-1).cast("long").alias("block_start"), F.lit(0).cast("long").alias("line_id"),
+        F.concat(F.lit("log of "), "source").alias("value"),
+    )
+    entries = parse_lines(lines.drop("view", "event_id").unionByName(header), DEFAULT, chunk_bits=r.CHUNK_BITS)
+    ordered = timeline.chronological(timeline.with_sort_time(entries, chunk_bits=r.CHUNK_BITS))
+    return ordered.select("source", "timestamp", "sort_ts", "message")
+
+
+_KEY = ("block_start", "line_id")
+
+
+@query(
+    "h02_next_match",
+    f"""WITH {EVENTS}, hits AS (SELECT event_id, view, msg AS message FROM ev WHERE view = 'view' AND contains(msg, '77'))
+    (SELECT 'next' AS way, * FROM hits WHERE event_id > 700 ORDER BY event_id LIMIT 1)
+    UNION ALL (SELECT 'previous', * FROM hits WHERE event_id < 700 ORDER BY event_id DESC LIMIT 1)
+    UNION ALL (SELECT 'last', * FROM hits ORDER BY event_id DESC LIMIT 1)""",
+)
+def h02(spark, sf_dir):
+    one = r.event_entries(spark, sf_dir).filter(F.col("view") == "view").select("event_id", "view", "message", *_KEY)
+    match, cursor = p.text_match("77"), (0, 700 << r.ENTRY_BITS)
+    steps = {
+        "next": search.find_next(one, match, _KEY, cursor),
+        "previous": search.find_next(one, match, _KEY, cursor, backward=True),
+        "last": search.find_next(one, match, _KEY, backward=True),
+    }
+    named = [d.select(F.lit(way).alias("way"), "event_id", "view", "message") for way, d in steps.items()]
+    return named[0].unionAll(named[1]).unionAll(named[2])
+
+
+@query(
+    "h03_next_match_in_views",
+    f"""WITH {EVENTS}, m AS (SELECT max(event_id) AS top FROM ev),
+    hits AS (SELECT event_id, view, msg AS message, (list_position(['click','error','purchase','signup','view'], view) - 1 - 3 + 5) % 5 AS turn,
+                    (3 - list_position(['click','error','purchase','signup','view'], view) + 1 + 5) % 5 AS back
+             FROM ev, m WHERE contains(msg, '5') AND lvl <> 'WARN')
+    (SELECT 'next' AS way, event_id, view, message FROM hits, m WHERE turn > 0 OR event_id > top ORDER BY turn, event_id LIMIT 1)
+    UNION ALL (SELECT 'previous', event_id, view, message FROM hits WHERE back > 0 OR event_id < 0 ORDER BY back, event_id DESC LIMIT 1)""",
+)
+def h03(spark, sf_dir):
+    entries = r.event_entries(spark, sf_dir).filter(F.col("level") != "WARN").select("event_id", "view", "message", *_KEY)
+    match = p.text_match("5")
+    after_all = (1, 0)
+    forward = search.find_next_in_views(entries, match, VIEWS, _KEY, "signup", after_all)
+    back = search.find_next_in_views(entries, match, VIEWS, _KEY, "signup", (-1, 0), backward=True)
+    named = [d.select(F.lit(way).alias("way"), "event_id", "view", "message") for way, d in (("next", forward), ("previous", back))]
+    return named[0].unionAll(named[1])
+
+
+@query("h04_newest_rows", f"WITH {EVENTS} SELECT view, max(event_id) AS event_id, arg_max(msg, event_id) AS message FROM ev GROUP BY view")
+def h04(spark, sf_dir):
+    return timeline.newest(r.event_entries(spark, sf_dir)).select("view", "event_id", "message")
+
+
+@query(
+    "h04_tail",
+    f"WITH {EVENTS} SELECT event_id, ts AS timestamp, msg AS message FROM ev WHERE view = 'click' ORDER BY ts DESC LIMIT 20",
+)
+def h04_tail(spark, sf_dir):
+    clicks = r.event_entries(spark, sf_dir).filter(F.col("view") == "click").withColumn("sort_ts", F.col("timestamp"))
+    return timeline.tail(clicks, 20).select("event_id", "timestamp", "message")
+
+
+# --- facets and profiles ---------------------------------------------------------------------------------
+
+_FACETS = {"level": ["ERROR", "INFO"], "ip": ["10.0.0.1", "10.0.0.3"], "logger": ["click", "error"]}
+_OTHERS = {
+    "level": "lv", "thread": "thr", "logger": "event_type", "ip": "ip", "source": "source",
+}
+_PASS = {
+    "level": "lvl IN ('ERROR', 'INFO')",
+    "ip": "ip IN ('10.0.0.1', '10.0.0.3')",
+    "logger": "event_type IN ('click', 'error')",
+    "message": "regexp_matches(msg, '(?i)\"K\": [0-4]')",
+}
+
+
+def _facet_sql() -> str:
+    values = {"level": "lvl", "thread": "thr", "logger": "event_type", "ip": "ip", "source": "source"}
+    parts = []
+    for facet, value in values.items():
+        test = " AND ".join(c for other, c in _PASS.items() if other != facet)
+        parts.append(f"SELECT '{facet}' AS facet, {value} AS value, count(*) AS total, count(*) FILTER ({test}) AS n FROM ev GROUP BY {value}")
+    return f"WITH {EVENTS}, opts AS ({' UNION ALL '.join(parts)})"
+
+
+@query("f01_facets", f"{_facet_sql()} SELECT facet, value, n FROM opts WHERE n > 0")
+def f01(spark, sf_dir):
+    return facets.facet_options(r.event_entries(spark, sf_dir), _FACETS, message='"K": [0-4]')
+
+
+@query("h05_option_lists", f"{_facet_sql()} SELECT facet, value, n > 0 AS available FROM opts")
+def h05(spark, sf_dir):
+    return facets.option_list(facets.all_options(r.event_entries(spark, sf_dir), _FACETS, message='"K": [0-4]'))
+
+
+@query(
+    "f03_applications",
+    f"""WITH {EVENTS} SELECT event_type AS app, count(*) AS entries, count(DISTINCT source) AS files,
+        count(*) FILTER (lvl = 'ERROR') AS errors, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts,
+        event_type || CASE WHEN count(DISTINCT source) > 1 THEN ' (Auto-Merged)' ELSE '' END AS title FROM ev GROUP BY event_type""",
+)
+def f03(spark, sf_dir):
+    entries = parse_lines(r.event_lines(spark, sf_dir), DEFAULT, chunk_bits=r.CHUNK_BITS)
+    return profile.by_application(profile.with_app(entries))
+
+
+@query(
+    "f04_column_presence",
+    """SELECT event_type AS view, true AS timestamp, true AS level, event_type <> 'click' AS thread, event_type <> 'view' AS logger,
+       true AS ip, event_type <> 'error' AS source FROM events GROUP BY event_type""",
+)
+def f04(spark, sf_dir):
+    view = F.col("view")
+    entries = r.event_entries(spark, sf_dir).withColumns(
+        {
+            "thread": F.when(view == "click", " unknown ").otherwise(F.col("thread")),
+            "logger": F.when(view != "view", F.col("logger")),
+            "source": F.when(view == "error", "one.log").otherwise(F.col("source")),
+        }
+    )
+    return profile.column_presence(entries)
+
+
+@query(
+    "f05_match_counts",
+    """SELECT 'src' AS scope, source AS view, count(*) AS matches FROM documents WHERE regexp_matches(text, '(?i)\\bthe\\b') GROUP BY source
+       UNION ALL SELECT 'all', NULL, count(*) FROM documents WHERE regexp_matches(text, '(?i)\\bthe\\b')""",
+)
+def f05(spark, sf_dir):
+    docs = r.table(spark, sf_dir, "documents").select(F.col("text").alias("message"), F.col("source").alias("view"))
+    match = p.text_match("the", whole_word=True)
+    each = search.count_matches(docs, match).select(F.lit("src").alias("scope"), "view", "matches")
+    every = search.count_matches(docs, match, by=None)
+    return each.unionAll(every.select(F.lit("all"), F.lit(None).cast("string"), "matches"))
+
+
+@query(
+    "f06_source_counts",
+    f"""WITH {EVENTS} SELECT event_type AS view, count(DISTINCT source) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS sources
+        FROM ev WHERE event_type <> 'click' OR event_id % 7 <> 0 GROUP BY event_type""",
+)
+def f06(spark, sf_dir):
+    gone = (F.col("view") == "click") & (F.col("event_id") % 7 == 0)
+    entries = r.event_entries(spark, sf_dir).withColumn("source", F.when(~gone, F.col("source")))
+    return entries.groupBy("view").agg(profile.source_count().alias("sources"))
+
+
+@query(
+    "k03_load_summary",
+    "SELECT count(*) AS entries, count(*) AS timed, count(*) FILTER (event_type = 'error') AS errors FROM events",
+)
+def k03(spark, sf_dir):
+    entries = read_fields(r.event_lines(spark, sf_dir), DEFAULT).select("fields.*")
+    watched, seen = profile.observed(entries)
+    watched.write.parquet(scratch_path(spark, "k03"))
+    got = seen.get
+    return spark.createDataFrame([(got["entries"], got["timed"], got["errors"])], "entries long, timed long, errors long")
+
+
+# --- merging ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "i01_merged_views",
+    f"""WITH {EVENTS} SELECT 'Merged View' AS view, view AS origin_view, ts AS timestamp, lvl AS level, source, msg AS message
+        FROM ev WHERE view IN ('click', 'error', 'signup')""",
+)
+def i01(spark, sf_dir):
+    merged = timeline.merge_views(r.event_entries(spark, sf_dir), ["click", "error", "signup"])
+    ordered = timeline.chronological(timeline.with_sort_time(merged, chunk_bits=r.CHUNK_BITS))
+    return ordered.select("view", "origin_view", "timestamp", "level", "source", "message")
+
+
+@query("i03_unmerged_view", f"WITH {EVENTS} SELECT view, ts AS timestamp, lvl AS level, source, msg AS message FROM ev WHERE view = 'error'")
+def i03(spark, sf_dir):
+    merged = timeline.merge_views(r.event_entries(spark, sf_dir), ["click", "error", "signup"])
+    return timeline.unmerge(merged, "error").select("view", "timestamp", "level", "source", "message")
+
+
+# --- live events -----------------------------------------------------------------------------------------
+
+
+def _xml_lines(spark, sf_dir):
+    """Every event as five XML lines on the connection of its user."""
+    open_tag = F.concat(
+        F.lit('<log4j:event logger="'), "log", F.lit('" timestamp="'), _millis("ts").cast("string"), F.lit('" level="'),
+        "lvl", F.lit('" thread="'), "thr", F.lit('">'),
+    )
+    message = F.concat(F.lit("<log4j:message><![CDATA["), "msg", F.lit("]]></log4j:message>"))
+    thrown = F.when(
+        F.col("lvl") == "ERROR", F.lit("<log4j:throwable><![CDATA[Boom\n\tat shop]]></log4j:throwable>")
+    ).otherwise("")
+    text = F.concat_ws("\n", open_tag, message, thrown, F.lit("</log4j:event>"))
+    lines = r.events(spark, sf_dir).select(
+        F.concat(F.lit("10.0.0.9:"), "user_id").alias("remote"), "event_id", F.posexplode(F.split(text, "\n")).alias("pos", "line")
+    )
+    return lines.select(
+        "remote", (F.col("event_id") * 8 + F.col("pos")).alias("seq"), "line", F.lit("event").alias("event_kind")
+    )
+
+
+_XML = """
+xm AS (SELECT *, '<log4j:event logger="' || log || '" timestamp="' || epoch_ms(ts) || '" level="' || lvl || '" thread="' || thr || '">'
+              || chr(10) || '<log4j:message><![CDATA[' || msg || ']]></log4j:message>' || chr(10)
+              || CASE WHEN lvl = 'ERROR' THEN '<log4j:throwable><![CDATA[Boom' || chr(10) || chr(9) || 'at shop]]></log4j:throwable>' ELSE '' END
+              || chr(10) || '</log4j:event>' || chr(10) AS xml FROM ev)"""
+
+
+_FRAMES_SQL = f"WITH {EVENTS}, {_XML} SELECT '10.0.0.9:' || user_id AS remote, xml FROM xm"
+
+
+@query("j01_xml_frames", _FRAMES_SQL)
+def j01(spark, sf_dir):
+    return live_events.frame_xml(_xml_lines(spark, sf_dir), chunk_bits=20).select("remote", "xml")
+
+
+@query(
+    "j02_xml_entries",
+    f"""WITH {EVENTS}, {_XML} SELECT ts_ms AS timestamp, lvl AS level, thr AS thread, log AS logger, '' AS ip, CAST(0 AS INTEGER) AS port,
+        msg || CASE WHEN lvl = 'ERROR' THEN chr(10) || 'Boom' || chr(10) || chr(9) || 'at shop' ELSE '' END AS message,
+        'RemoteApp' AS source, xml AS raw FROM xm""",
+)
+def j02(spark, sf_dir):
+    frames = live_events.frame_xml(_xml_lines(spark, sf_dir), chunk_bits=20)
+    return as_entries(live_events.read_xml(frames))
+
+
+@query(
+    "j03_structured_events",
+    f"""WITH {EVENTS} SELECT event_id, ts_ms AS timestamp, lvl AS level, thr AS thread, log AS logger,
+        msg || CASE WHEN lvl = 'ERROR' THEN chr(10) || 'Boom' || chr(10) || 'at shop' ELSE '' END AS message,
+        CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'RemoteApp' END AS source FROM ev""",
+)
+def j03(spark, sf_dir):
+    ev = r.events(spark, sf_dir)
+    app = F.struct(F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise("").alias("application"))
+    boom = F.when(F.col("lvl") == "ERROR", "Boom\nat shop")
+    common = [F.col("lvl").alias("level"), F.col("thr").alias("threadName"), F.col("log").alias("loggerName")]
+    millis = _millis("ts")
+    payloads = [
+        F.to_json(F.struct(millis.alias("timeStamp"), *common, F.col("msg").alias("formattedMessage"), app.alias("mdc"), boom.alias("throwable"))),
+        F.to_json(F.struct(millis.alias("timeStamp"), *common, F.col("msg").alias("renderedMessage"), app.alias("mdc"), F.split(boom, "\n").alias("throwable"))),
+        F.to_json(F.struct(millis.alias("timeMillis"), *common, F.col("msg").alias("message"), app.alias("contextData"), boom.alias("thrown"))),
+    ]
+    n = F.col("event_id") % 3
+    payload = F.when(n == 0, payloads[0]).when(n == 1, payloads[1]).otherwise(payloads[2])
+    family = F.when(n == 0, "logback").when(n == 1, "log4j1").otherwise("log4j2")
+    entries = live_events.read_structured(ev.select("event_id", family.alias("family"), payload.alias("payload")))
+    return entries.select("event_id", "timestamp", "level", "thread", "logger", "message", "source")
+
+
+_SESSIONS = """
+    WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS gone FROM conversations),
+    s AS (SELECT *, sum(gone) OVER (PARTITION BY conv_id ORDER BY turn) AS session FROM c),
+    k AS (SELECT *, first_value(role) OVER (PARTITION BY conv_id, session ORDER BY turn) AS app FROM s WHERE gone = 0)
+    SELECT CAST(conv_id AS VARCHAR) AS remote, turn AS seq,
+           CASE WHEN app = 'system' THEN 'Remote(10.0.0.' || conv_id % 5 || ':' || 9000 + conv_id || ')'
+                ELSE app || ' (10.0.0.' || conv_id % 5 || ')' END AS view FROM k"""
+
+
+def _session_events(conversations):
+    return conversations.select(
+        F.col("conv_id").cast("string").alias("remote"),
+        F.col("turn").cast("long").alias("seq"),
+        F.when(F.col("turn") % 4 == 3, DISCONNECT).otherwise("event").alias("event_kind"),
+        F.when(F.col("role") == "system", "RemoteApp").otherwise(F.col("role")).alias("source"),
+        F.concat(F.lit("10.0.0."), F.col("conv_id") % 5).alias("ip"),
+        (F.col("conv_id") + 9000).cast("int").alias("port"),
+    )
+
+
+@query("j04_sticky_sessions", _SESSIONS)
+def j04(spark, sf_dir):
+    events = _session_events(r.table(spark, sf_dir, "conversations"))
+    return sessions.route_batch(events, chunk_bits=2).select("remote", "seq", "view")
+
+
+def _drain(stream, name):
+    """Run a stream over everything that is there and return its output table."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-offsets")
+    live.append_to(stream, path, checkpoint, available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _stream(spark, sf_dir, name):
+    schema = r.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("j04_sticky_sessions_stream", _SESSIONS)
+def j04_stream(spark, sf_dir):
+    live.use_rocksdb(spark)
+    return _drain(live.route_stream(_session_events(_stream(spark, sf_dir, "conversations"))), "j04")
+
+
+_CONV_XML = """'<log4j:event logger="' || role || '" timestamp="' || turn || '" level="INFO" thread="t">' || chr(10)
+    || '<log4j:message><![CDATA[' || text || ']]></log4j:message>' || chr(10) || '</log4j:event>' || chr(10)"""
+
+
+@query("j01_xml_frames_stream", f"SELECT CAST(conv_id AS VARCHAR) AS remote, {_CONV_XML} AS xml FROM conversations")
+def j01_stream(spark, sf_dir):
+    live.use_rocksdb(spark)
+    text = F.concat(
+        F.lit('<log4j:event logger="'), "role", F.lit('" timestamp="'), "turn", F.lit('" level="INFO" thread="t">\n'),
+        F.lit("<log4j:message><![CDATA["), "text", F.lit("]]></log4j:message>\n</log4j:event>"),
+    )
+    lines = _stream(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("remote"), "turn", F.posexplode(F.split(text, "\n")).alias("pos", "line")
+    )
+    seq = F.shiftleft(F.col("turn").cast("long"), r.ENTRY_BITS) + F.col("pos")
+    lines = lines.select("remote", seq.alias("seq"), "line", F.lit("event").alias("event_kind"))
+    return _drain(live.frame_xml_stream(lines), "j01").select("remote", "xml")
+
+
+@query(
+    "j05_live_entries",
+    f"WITH {EVENTS} SELECT ts_ms AS timestamp, lvl AS level, thr AS thread, log AS logger, msg AS message FROM ev",
+)
+def j05(spark, sf_dir):
+    lines = _stream(spark, sf_dir, "events").select(
+        r.stamp("yyyy-MM-dd HH:mm:ss.SSS").alias("stamp"),
+        F.concat(F.lit("user-"), "user_id").alias("thr"),
+        r.event_level().alias("lvl"),
+        F.concat(F.lit("app.web."), "event_type").alias("log"),
+        F.concat(F.col("event_id").cast("string"), F.lit(" "), "props").alias("msg"),
+    )
+    text = F.concat("stamp", F.lit(" ["), "thr", F.lit("] "), "lvl", F.lit(" "), "log", F.lit(" - "), "msg")
+    entries = read_fields(lines.select(text.alias("value")), Layout(DEFAULT.layout)).select("fields.*")
+    return _drain(entries, "j05").select("timestamp", "level", "thread", "logger", "message")
+
+
+# --- export ----------------------------------------------------------------------------------------------
+
+
+@query("k01_exported_view", f"WITH {LINES} SELECT line AS value FROM ln WHERE view = 'error'")
+def k01(spark, sf_dir):
+    one = r.event_entries(spark, sf_dir).filter(F.col("view") == "error").withColumn("sort_ts", F.col("timestamp"))
+    path = scratch_path(spark, "k01")
+    export.export_view(one, path)
+    return files.read_lines(spark, path).select("value")
+
+
+@query("k02_exported_views", f"WITH {LINES} SELECT 'view_' || view || '.log' AS view_file, line AS value FROM ln")
+def k02(spark, sf_dir):
+    entries = r.event_entries(spark, sf_dir).withColumn("sort_ts", F.col("timestamp"))
+    entries = entries.withColumn("view", F.concat(F.lit("view "), "view"))
+    path = scratch_path(spark, "k02")
+    export.export_views(entries, path, compression="gzip")
+    return spark.read.text(path).select("view_file", "value")

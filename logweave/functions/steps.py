@@ -28,5 +28,11 @@ class Steps:
         return F.col(name)
 
     def finish(self, **columns: Column) -> DataFrame:
-        """The DataFrame with ``columns`` added and the helpers removed."""
-        return self.df.withColumns(columns).drop(*self._names)
+        """The DataFrame with ``columns`` added and the helpers removed.
+
+        The columns come out of a one-row generator. It keeps later filters on them from being written
+        out in terms of all the steps below, where every step would be repeated many times.
+        """
+        keep = [c for c in self.df.columns if c not in self._names and c not in columns]
+        made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+        return self.df.select(*keep, made)

@@ -113,9 +113,9 @@ def compile_time(pattern: str, base_year: int | None = None) -> TimeFormat:
     )
 
 
-def iso_text(text: Column, regex: Column, rewrite: Column) -> Column:
+def iso_text(let, text: Column, regex: Column, rewrite: Column) -> Column:
     """ISO form of ``text``; null where the pattern does not match. ``(?!)`` as regex never matches."""
-    canon = F.regexp_replace(text, regex, rewrite)
+    canon = let(F.regexp_replace(text, regex, rewrite))
     return F.when(canon.startswith(MARK), F.substr(canon, F.lit(2)))
 
 
@@ -171,5 +171,5 @@ def with_time(
         return df.withColumn(out, F.lit(None).cast("timestamp_ntz"))
     steps = Steps(df)
     base = base_date if base_date is not None else F.current_date()
-    iso = iso_text(F.col(text), F.lit(compiled.regex), F.lit(compiled.rewrite))
+    iso = iso_text(steps.let, F.col(text), F.lit(compiled.regex), F.lit(compiled.rewrite))
     return steps.finish(**{out: iso_to_timestamp(steps.let, iso, base)})

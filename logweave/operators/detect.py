@@ -60,7 +60,9 @@ def score_formats(heads: DataFrame, formats: Sequence[LogFormat] | None = None,
     formats = list(formats if formats is not None else default_formats())
     keep = [c for c in ("base_date",) if c in heads.columns]
     text = F.regexp_replace("head", r"(?:\r\n|\r|\n)\z", "")
-    per_format = heads.select(
+    # heads are small but every format reads them: a fixed number of partitions uses all cores
+    spread = heads.repartition(heads.sparkSession.sparkContext.defaultParallelism, "source_path")
+    per_format = spread.select(
         "source_path", *keep, text.alias("head"), F.explode(F.sequence(F.lit(0), F.lit(len(formats) - 1))).alias("format_index")
     )
     lines = per_format.select(

@@ -219,7 +219,7 @@ def _group(line: Column, p: dict[str, Column], field: str) -> Column:
 def _start(let: Let, line: Column, p: dict[str, Column], base_date: Column) -> Column:
     """True where the line starts an entry; one pass of the line regex."""
     text = let(_trimmed(_group(line, p, "timestamp"), p["trim"]))
-    timed = iso_to_timestamp(let, iso_text(text, p["time_regex"], p["time_rewrite"]), base_date).isNotNull()
+    timed = iso_to_timestamp(let, iso_text(let, text, p["time_regex"], p["time_rewrite"]), base_date).isNotNull()
     untimed = F.call_function("regexp_instr", line, p["regex"]) > 0
     return F.coalesce(F.when(p["time_regex"] == "", untimed).otherwise(timed), F.lit(False))
 
@@ -237,7 +237,7 @@ def _read(let: Let, line: Column, p: dict[str, Column], base_date: Column) -> Co
     parts = let(F.when(F.contains(line, F.lit(SEP)), careful).otherwise(quick))
     matched = F.size(parts) == len(FIELDS)
     text = [_trimmed(F.get(parts, F.lit(i)), p["trim"]) for i in range(5)]
-    iso = F.when(matched, iso_text(text[0], p["time_regex"], p["time_rewrite"]))
+    iso = iso_text(let, F.when(matched, text[0]), p["time_regex"], p["time_rewrite"])
     ts = let(iso_to_timestamp(let, iso, base_date))
     read = F.struct(
         ts.alias("timestamp"),

@@ -501,7 +501,7 @@ def _xml_lines(spark, sf_dir):
 
 
 _XML = """
-xm AS (SELECT *, '<log4j:event logger="' || log || '" timestamp="' || epoch_ms(ts) || '" level="' || lvl || '" thread="' || thr || '">'
+xm AS (SELECT *, '<log4j:event logger="' || log || '" timestamp="' || epoch_us(ts) // 1000 || '" level="' || lvl || '" thread="' || thr || '">'
               || chr(10) || '<log4j:message><![CDATA[' || msg || ']]></log4j:message>' || chr(10)
               || CASE WHEN lvl = 'ERROR' THEN '<log4j:throwable><![CDATA[Boom' || chr(10) || chr(9) || 'at shop]]></log4j:throwable>' ELSE '' END
               || chr(10) || '</log4j:event>' || chr(10) AS xml FROM ev)"""

@@ -88,7 +88,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, name, length, modified) of the given files and of the log files in the given folders.
 
     Folders are read one level deep and only for log names; files named outright are taken whatever their
-    name. Only the listing is read, no content.
+    name. Empty files are left out. Only the listing is read, no content.
     """
     scans = _scan(spark, "binaryFile", *split_paths(spark, paths), "*")
     if not scans:
@@ -157,20 +157,26 @@ def _first_bytes(path: str, n: int) -> bytes:
     with fs.open_input_stream(inner, compression=None) as stream:
         if not path.lower().endswith(".gz"):
             return stream.read(n)
-        gunzip, out = zlib.decompressobj(wbits=31), b""
-        while len(out) < n and not gunzip.eof:
-            block = stream.read(64 * 1024)
-            if not block:
+        gunzip, out, packed = zlib.decompressobj(wbits=31), b"", b""
+        while len(out) < n:
+            packed = packed or stream.read(64 * 1024)
+            if not packed:
+                if not gunzip.eof:
+                    raise EOFError("the file ends inside its compressed data")
                 break
-            out += gunzip.decompress(block, n - len(out))
+            if gunzip.eof:  # the next member of a concatenated file
+                gunzip = zlib.decompressobj(wbits=31)
+            out += gunzip.decompress(packed, n - len(out))
+            packed = gunzip.unconsumed_tail or gunzip.unused_data
         return out
 
 
 def read_heads(files: DataFrame, head_bytes: int = 128 * 1024) -> DataFrame:
     """First bytes of each listed file: (source_path, content, reason); ``reason`` tells why none could be read.
 
-    Reads ``head_bytes`` per file, never the whole file; gzip files are unpacked as far as needed. The
-    executors must be able to open the paths.
+    Reads ``head_bytes`` per file, never the whole file; gzip files are unpacked as far as needed, so damage
+    behind the head is only met by the scan, which then drops that file. The executors must be able to open
+    the paths.
     """
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,36 +51,34 @@ def heads_of(lines: DataFrame, head_bytes: int = HEAD_BYTES, chunk_bits: int = C
     )
 
 
-def score_formats(heads: DataFrame, formats: Sequence[LogFormat] | None = None, base_date=None) -> DataFrame:
+def score_formats(
+    heads: DataFrame, formats: Sequence[LogFormat] | None = None, base_date=None, candidates_only: bool = False
+) -> DataFrame:
     """Entry counts per (source, format) over the heads.
 
     Columns: source_path, format_index, candidate (the first line passes the format's test), timed and total
-    entries. One row per source goes in; the explode to lines needs no shuffle before the partial counts.
+    entries. With ``candidates_only`` the other formats are not tried at all. The explode to lines needs no
+    shuffle before the partial counts.
     """
     formats = list(formats if formats is not None else default_formats())
     keep = [c for c in ("base_date",) if c in heads.columns]
-    text = F.regexp_replace("head", r"(?:\r\n|\r|\n)\z", "")
     # heads are small but every format reads them: a fixed number of partitions uses all cores
     spread = heads.repartition(heads.sparkSession.sparkContext.defaultParallelism, "source_path")
-    per_format = spread.select(
-        "source_path", *keep, text.alias("head"), F.explode(F.sequence(F.lit(0), F.lit(len(formats) - 1))).alias("format_index")
-    )
-    lines = per_format.select(
-        "source_path", *keep, "format_index", F.posexplode(F.split("head", r"\r\n|\r|\n")).alias("pos", "value")
-    )
     fmt = FormatSet(formats, F.col("format_index"))
+    text = F.split(F.regexp_replace("head", r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    first = F.regexp_extract("head", r"\A[^\r\n]*", 0)
+    tests = F.array(*[F.struct(F.lit(i).alias("format_index"), f.first_line(F.col("first")).alias("candidate")) for i, f in enumerate(formats)])
+    per_format = spread.withColumn("first", first).select("source_path", *keep, "head", F.inline(tests))
+    if candidates_only:
+        per_format = per_format.filter("candidate")
+    lines = per_format.select("source_path", *keep, "format_index", "candidate", F.posexplode(text).alias("pos", "value"))
     steps = Steps(lines)
     read = steps.let(fmt.fields(steps.let, F.col("value"), _base(lines, base_date)))
     flagged = steps.finish(is_start=read.isNotNull(), is_timed=F.coalesce(read["timestamp"].isNotNull(), F.lit(False)))
-    first = F.col("pos") == 0
-    header = ~F.max(F.when(first, F.col("is_start")))
-    return (
-        flagged.groupBy("source_path", "format_index")
-        .agg(
-            F.coalesce(F.max(F.when(first, fmt.first_line(F.col("value")))), F.lit(False)).alias("candidate"),
-            F.count_if("is_timed").alias("timed"),
-            (F.count_if("is_start") + F.when(header, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("total"),
-        )
+    header = ~F.max(F.when(F.col("pos") == 0, F.col("is_start")))
+    return flagged.groupBy("source_path", "format_index", "candidate").agg(
+        F.count_if("is_timed").alias("timed"),
+        (F.count_if("is_start") + F.when(header, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("total"),
     )
 
 
@@ -101,16 +99,16 @@ def choose_format(scores: DataFrame) -> DataFrame:
     return top.select("source_path", chosen.cast("int").alias("format_index"))
 
 
-def detect_formats(
-    lines: DataFrame,
-    formats: Sequence[LogFormat] | None = None,
-    heads: DataFrame | None = None,
-    base_date=None,
-    chunk_bits: int = CHUNK_BITS,
-) -> DataFrame:
-    """(source_path, format_index) for every source of ``lines``; ``heads`` may come from the file heads."""
-    heads = heads if heads is not None else heads_of(lines, chunk_bits=chunk_bits)
-    return choose_format(score_formats(heads, formats, base_date))
+def detect_formats(heads: DataFrame, formats: Sequence[LogFormat] | None = None, base_date=None) -> DataFrame:
+    """(source_path, format_index) for every head.
+
+    First only the formats that accept the first line are scored. Sources they do not settle, such as those
+    with a header, are scored under all formats. ``heads`` should be settled: both rounds read it.
+    """
+    likely = settle(choose_format(score_formats(heads, formats, base_date, candidates_only=True)))
+    known = likely.filter(F.col("format_index") != FALLBACK)
+    left = heads.join(known, "source_path", "left_anti")
+    return known.unionByName(choose_format(score_formats(left, formats, base_date)))
 
 
 def parse_detected(
@@ -130,7 +128,7 @@ def parse_detected(
     """
     formats = list(formats if formats is not None else default_formats())
     if detected is None:
-        detected = detect_formats(lines, formats, base_date=base_date, chunk_bits=chunk_bits)
+        detected = detect_formats(settle(heads_of(lines, chunk_bits=chunk_bits)), formats, base_date)
     known = attach(lines, settle(detected), ["source_path"], how="inner")
     return parse_lines(
         known,

@@ -9,11 +9,15 @@ from logweave.functions.fields import app_name, base_name, is_meaningful, severi
 from logweave.session import attach, settle
 
 
-def with_app(entries: DataFrame) -> DataFrame:
-    """Add ``app``, the application of each source. Names are stripped once per distinct source."""
-    names = entries.select("source").distinct()
+def with_app(df: DataFrame) -> DataFrame:
+    """Add ``app``, the application of each source, to lines or entries.
+
+    Names are stripped once per distinct source. Apply it to stored entries, or to lines before they are
+    parsed, so that finding the names costs only a scan.
+    """
+    names = df.select("source").distinct()
     apps = settle(names.withColumn("app", app_name(base_name("source"))))
-    return attach(entries, apps, ["source"], "left")
+    return attach(df, apps, ["source"], "left")
 
 
 def by_application(entries: DataFrame) -> DataFrame:

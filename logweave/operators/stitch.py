@@ -52,24 +52,34 @@ def stitch(
         lines = lines.withColumns(flip)
     way = "desc" if closing else "asc"
     keep = tuple(c for c in keep if c not in _CHUNK)
+    # Keys that cannot be null keep the join below from adding null filters to some branches only, so that
+    # all branches share one shuffle of the lines.
+    line_id = F.coalesce(F.col("line_id"), F.lit(0).cast("long"))
     chunked = lines.select(
-        *_CHUNK[:2],
-        F.shiftright(F.col("line_id"), chunk_bits).alias("chunk"),
-        "line_id",
+        F.coalesce("source_path", F.lit("")).alias("source_path"),
+        F.coalesce("block_start", F.lit(0).cast("long")).alias("block_start"),
+        F.shiftright(line_id, chunk_bits).alias("chunk"),
+        line_id.alias("line_id"),
         *keep,
         "value",
         F.when(F.col(is_start), F.col("line_id")).alias("start_id"),
     )
     chunk = Window.partitionBy(*_CHUNK)
-    runs = chunked.withColumn(
-        "first_line", F.max("start_id").over(chunk.orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0))
+    in_order = chunk.orderBy("line_id")
+    runs = chunked.withColumns(
+        {
+            "first_line": F.max("start_id").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+            "next_start": F.lead("start_id").over(in_order),
+        }
     ).withColumn("last_start", F.max("start_id").over(chunk))
     closed = F.col("first_line").isNotNull() & (F.col("first_line") < F.col("last_start"))
     by = [*_CHUNK, *keep, "first_line"]
 
-    inside = _joined(runs.filter(closed), by, way).select(
-        *_CHUNK[:2], "line_id", *keep, "raw", F.lit(True).alias("headed"), F.lit(0).alias("part")
-    )
+    # Most entries are one line between two starts; only the others need an aggregate.
+    single = F.col("start_id").isNotNull() & F.col("next_start").isNotNull()
+    whole = [*_CHUNK[:2], "line_id", *keep, "raw", F.lit(True).alias("headed"), F.lit(0).alias("part")]
+    one_line = runs.filter(single).withColumnRenamed("value", "raw").select(*whole)
+    inside = one_line.unionByName(_joined(runs.filter(closed & ~single), by, way).select(*whole))
 
     pieces = _joined(runs.filter(~closed | closed.isNull()), by, way).withColumn("tail", F.col("first_line").isNotNull())
     # Owner of a piece: the last start at or before it. Only keys and sizes go through this per-source window.

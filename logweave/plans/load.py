@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.detect import HEAD_BYTES, choose_format, heads_of, parse_detected, score_formats
+from logweave.functions.fields import app_name, base_name
+from logweave.operators.detect import HEAD_BYTES, detect_formats, heads_of, parse_detected
 from logweave.operators.formats import LogFormat, default_formats
-from logweave.operators.profile import with_app
 from logweave.schema import LINE_KEY
 from logweave.session import settle
 from logweave.sources.archives import archive_lines, explode_archives, rejected
-from logweave.sources.files import head_text, is_binary, list_files, read_heads, read_lines, read_zip_files
+from logweave.sources.files import head_text, is_binary, list_files, read_heads, read_lines, read_zip_files, source_name
 
 class Loaded:
     """Result of a load: ``entries`` (parsed, with ``app``) and ``rejects`` (path, reason)."""
@@ -44,19 +44,24 @@ def load_logs(
     unread = heads.filter(F.col("reason").isNotNull()).select(F.col("source_path").alias("path"), "reason")
     rejects = unread.unionByName(files.filter(is_7z).select("path", F.lit("7z is not supported").alias("reason")))
     texts = heads.filter(F.octet_length("content") > 0).filter(~is_binary(F.col("content"), compat))
-    scores = score_formats(texts.select("source_path", head_text(F.col("content")).alias("head")), formats, today)
+    texts = texts.select("source_path", head_text(F.col("content")).alias("head"))
     lines = read_lines(spark, paths)
     if base_date is not None:
         lines = lines.withColumn("base_date", today)
-    entries = parse_detected(lines, formats, choose_format(scores))
+    names = files.select(F.col("path").alias("source_path"), app_name(source_name(F.col("name"))).alias("app"))
+    found = detect_formats(texts, formats, today).join(names, "source_path")
+    entries = parse_detected(lines, formats, found, keep=("app",))
 
     if not files.filter(is_zip).isEmpty():
         members = settle(explode_archives(read_zip_files(spark, paths)))
         inner = archive_lines(members).withColumn("base_date", today)
-        texts = heads_of(inner).filter(~is_binary(F.col("head").cast("binary"), compat))
-        entries = entries.unionByName(parse_detected(inner, formats, choose_format(score_formats(texts, formats, today))))
+        texts = settle(heads_of(inner)).filter(~is_binary(F.col("head").cast("binary"), compat))
+        names = inner.select("source_path", "source").distinct()
+        names = names.select("source_path", app_name(base_name("source")).alias("app"))
+        found = detect_formats(texts, formats, today).join(names, "source_path")
+        entries = entries.unionByName(parse_detected(inner, formats, found, keep=("app",)))
         rejects = rejects.unionByName(rejected(members))
-    return Loaded(with_app(entries), rejects)
+    return Loaded(entries, rejects)
 
 
 def store_entries(entries: DataFrame, path: str, sort: Sequence[str] = ("sort_ts", *LINE_KEY)) -> None:

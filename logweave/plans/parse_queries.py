@@ -23,6 +23,7 @@ from logweave.operators.formats import (
 from logweave.operators.parse import parse_lines, read_lines as read_fields
 from logweave.plans import rendering as r
 from logweave.plans.queries import EVENTS, LINES, query
+from logweave.session import settle
 from logweave.sources import archives, containers, files
 
 DEFAULT = Layout("%d{yyyy-MM-dd HH:mm:ss.SSS} [%t] %-5level %logger{36} - %msg%n")
@@ -88,7 +89,7 @@ def _order_lines(spark, sf_dir):
     msg = F.concat(F.lit("order "), "o_orderkey", F.lit(" of "), "o_custkey")
     source = F.concat(F.lit("prio-"), F.substring("o_orderpriority", 1, 1), F.lit(".log"))
     line = F.concat(F.lit("["), r.stamp("yyyy-MM-dd HH:mm:ss", "o_orderdate"), F.lit("] "), "o_orderstatus", F.lit(" "), msg)
-    return r.table(spark, sf_dir, "orders").select(
+    return r.spread(r.table(spark, sf_dir, "orders")).select(
         "o_orderkey",
         source.alias("source_path"),
         source.alias("source"),
@@ -124,7 +125,7 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _archives(spark, sf_dir):
-    docs = r.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = r.spread(r.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.mapInPandas(_zipped, "path string, content binary")
 
 
@@ -219,7 +220,7 @@ def a10(spark, sf_dir):
             ]
             yield pd.DataFrame({"path": b["doc_id"].map("doc-{}.zip".format), "content": content})
 
-    docs = r.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = r.spread(r.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     exploded = archives.explode_archives(docs.mapInPandas(damaged, "path string, content binary"))
     return archives.rejected(exploded).select("path", F.lit(True).alias("rejected"))
 
@@ -382,7 +383,7 @@ _WINNER = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 7 WHEN 'view' T
 @query("b10_detected_format", f"WITH {EVENTS} SELECT DISTINCT source, CAST({_WINNER} AS INTEGER) AS format_index FROM ev")
 def b10(spark, sf_dir):
     lines = _by_view(spark, sf_dir)
-    found = detect_formats(lines, base_date=BASE_DATE, chunk_bits=r.CHUNK_BITS)
+    found = detect_formats(settle(heads_of(lines, chunk_bits=r.CHUNK_BITS)), base_date=BASE_DATE)
     return found.select(F.substring_index("source_path", "/", -1).alias("source"), "format_index")
 
 

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than cores over all cores, ahead of regex or Python work; larger inputs as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def stamp(pattern: str, ts: str = "ts") -> Column:
     return F.date_format(ts, pattern)
 
@@ -26,7 +32,7 @@ def event_level() -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the parts of a log entry and their place in a source."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         "event_id",
         "ts",
         "user_id",
@@ -59,7 +65,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, to follow the event of the same number like a stack trace."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("event_id"), F.posexplode(F.split("text", "\n")).alias("pos", "value")
     )
     at = events(spark, sf_dir).select("source_path", "source", "block_start", "line_id", "view", "event_id")

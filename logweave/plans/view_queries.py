@@ -401,8 +401,8 @@ def h05(spark, sf_dir):
         event_type || CASE WHEN count(DISTINCT source) > 1 THEN ' (Auto-Merged)' ELSE '' END AS title FROM ev GROUP BY event_type""",
 )
 def f03(spark, sf_dir):
-    entries = parse_lines(r.event_lines(spark, sf_dir), DEFAULT, chunk_bits=r.CHUNK_BITS)
-    return profile.by_application(profile.with_app(entries))
+    lines = profile.with_app(r.event_lines(spark, sf_dir))
+    return profile.by_application(parse_lines(lines, DEFAULT, keep=("app",), chunk_bits=r.CHUNK_BITS))
 
 
 @query(

@@ -95,12 +95,21 @@ def row_filter(
 
 
 def filter_entries(df: DataFrame, selections=None, message="", domains=None, ignore_case=False) -> DataFrame:
-    """Rows that pass every active filter. An invalid message regex is ignored."""
+    """Rows that pass every active filter. An invalid message regex is ignored.
+
+    Selections above :data:`IN_LIST_LIMIT` values become semi joins.
+    """
     if message and not valid_regex(df, message):
         message = ""
-    conditions = row_filter(selections, message, domains, ignore_case).values()
-    active = [c for c in conditions if c is not None]
-    return df.filter(all_of(*active)) if active else df
+    selections = {f: list(v or ()) for f, v in (selections or {}).items()}
+    long = {f: v for f, v in selections.items() if len(v) > IN_LIST_LIMIT and len(set(v)) != len(set((domains or {}).get(f, ())))}
+    short = {f: v for f, v in selections.items() if f not in long}
+    active = [c for c in row_filter(short, message, domains, ignore_case).values() if c is not None]
+    kept = df.filter(all_of(*active)) if active else df
+    for facet, values in long.items():
+        chosen = df.sparkSession.createDataFrame([(v,) for v in values], "_chosen string")
+        kept = semi_selection(kept, FACETS[facet](), chosen)
+    return kept
 
 
 def text_match(query: str, columns: Iterable[str] = ("message",), whole_word: bool = False) -> Column:

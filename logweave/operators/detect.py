@@ -11,7 +11,7 @@ from logweave.functions.steps import Steps
 from logweave.operators.formats import FALLBACK, FormatSet, LogFormat, default_formats
 from logweave.operators.parse import _base, parse_lines
 from logweave.operators.stitch import CHUNK_BITS, MAX_PART_BYTES
-from logweave.session import attach, settle
+from logweave.session import attach, settle, small_side
 
 HEAD_BYTES = 128 * 1024
 
@@ -37,8 +37,9 @@ def heads_of(lines: DataFrame, head_bytes: int = HEAD_BYTES, chunk_bits: int = C
     )
     inside = Window.partitionBy(*chunk).orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col("chunk_begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    head_chunks = settle(head_chunks)
     kept = (
-        sized.join(head_chunks, chunk)
+        sized.join(small_side(head_chunks) or head_chunks, chunk)
         .withColumn("room", (F.lit(head_bytes) - offset).cast("int"))
         .filter(F.col("room") > 0)
     )

@@ -11,9 +11,9 @@ from logweave.functions.fields import app_name, base_name
 from logweave.operators.detect import HEAD_BYTES, detect_formats, heads_of, parse_detected
 from logweave.operators.formats import LogFormat, default_formats
 from logweave.schema import LINE_KEY
-from logweave.session import settle
-from logweave.sources.archives import archive_lines, explode_archives, rejected
-from logweave.sources.files import head_text, is_binary, list_files, read_heads, read_lines, read_zip_files, source_name
+from logweave.session import scratch_path, settle
+from logweave.sources.archives import archive_lines, read_archives, rejected
+from logweave.sources.files import head_text, is_binary, list_files, read_heads, read_lines, source_name
 
 class Loaded:
     """Result of a load: ``entries`` (parsed, with ``app``) and ``rejects`` (path, reason)."""
@@ -53,7 +53,7 @@ def load_logs(
     entries = parse_detected(lines, formats, found, keep=("app",))
 
     if not files.filter(is_zip).isEmpty():
-        members = settle(explode_archives(read_zip_files(spark, paths)))
+        members = settle(read_archives(spark, paths))
         inner = archive_lines(members).withColumn("base_date", today)
         texts = settle(heads_of(inner)).filter(~is_binary(F.col("head").cast("binary"), compat))
         names = inner.select("source_path", "source").distinct()
@@ -78,3 +78,14 @@ def store_entries(entries: DataFrame, path: str, sort: Sequence[str] = ("sort_ts
         .mode("overwrite")
         .parquet(path)
     )
+
+
+def stored(entries: DataFrame, name: str = "entries") -> DataFrame:
+    """The entries written once as Parquet below the shared folder and read back.
+
+    The interactive operators read their input several times; stored entries are parsed only once and are
+    pruned by column and by row group.
+    """
+    path = scratch_path(entries.sparkSession, name)
+    entries.write.parquet(path)
+    return entries.sparkSession.read.parquet(path)

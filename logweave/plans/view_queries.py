@@ -10,6 +10,7 @@ from logweave.operators import facets, profile, search, timeline
 from logweave.operators.formats import Layout
 from logweave.operators.parse import parse_lines, read_lines as read_fields
 from logweave.plans import rendering as r
+from logweave.plans.load import stored
 from logweave.plans.parse_queries import DEFAULT
 from logweave.plans.queries import EVENTS, LINES, query
 from logweave.schema import DISCONNECT, as_entries
@@ -302,7 +303,7 @@ def h01(spark, sf_dir):
         F.concat(F.lit("log of "), "source").alias("value"),
     )
     entries = parse_lines(lines.drop("view", "event_id").unionByName(header), DEFAULT, chunk_bits=r.CHUNK_BITS)
-    ordered = timeline.chronological(timeline.with_sort_time(entries, chunk_bits=r.CHUNK_BITS))
+    ordered = timeline.chronological(timeline.with_sort_time(stored(entries), chunk_bits=r.CHUNK_BITS))
     return ordered.select("source", "timestamp", "sort_ts", "message")
 
 
@@ -364,9 +365,6 @@ def h04_tail(spark, sf_dir):
 # --- facets and profiles ---------------------------------------------------------------------------------
 
 _FACETS = {"level": ["ERROR", "INFO"], "ip": ["10.0.0.1", "10.0.0.3"], "logger": ["click", "error"]}
-_OTHERS = {
-    "level": "lv", "thread": "thr", "logger": "event_type", "ip": "ip", "source": "source",
-}
 _PASS = {
     "level": "lvl IN ('ERROR', 'INFO')",
     "ip": "ip IN ('10.0.0.1', '10.0.0.3')",

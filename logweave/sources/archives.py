@@ -1,4 +1,4 @@
-"""Zip archives as lines, nested archives included; one archive is one task's work, line batches stream out."""
+"""Zip archives as lines, nested archives included."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.sources.files import LOG_ENDINGS, SKIPPED_ENDINGS, read_zip_files
+from logweave.session import settle
+from logweave.sources.files import LOG_ENDINGS, SKIPPED_ENDINGS, list_zips, locate
 
 MEMBER_SCHEMA = T.StructType(
     [
@@ -26,7 +27,7 @@ MEMBER_SCHEMA = T.StructType(
 )
 
 BATCH_LINES = 10_000
-_UNREADABLE = (OSError, EOFError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError)
+_UNREADABLE = (OSError, EOFError, ValueError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError)
 
 
 def _ending(name: str) -> str:
@@ -38,7 +39,7 @@ def _text_lines(stream) -> Iterator[str]:
         yield line.removesuffix("\n")
 
 
-def _members(name: str, stream, where: str = "") -> Iterator[tuple[str, str, object]]:
+def _members(name: str, stream, where: str = "", only: str | None = None) -> Iterator[tuple[str, str, object]]:
     """(place, source name, byte stream) of every readable text member, depth first.
 
     ``place`` tells members of equal name in different inner archives apart.
@@ -48,7 +49,7 @@ def _members(name: str, stream, where: str = "") -> Iterator[tuple[str, str, obj
         seekable = stream if stream.seekable() else io.BytesIO(stream.read())
         with zipfile.ZipFile(seekable) as archive:
             for info in archive.infolist():
-                if info.is_dir():
+                if info.is_dir() or (only is not None and info.filename != only):
                     continue
                 inner, place = info.filename, f"{where}{info.filename}"
                 if _ending(inner) in SKIPPED_ENDINGS and _ending(inner) not in ("zip", "gz"):
@@ -70,23 +71,22 @@ def _members(name: str, stream, where: str = "") -> Iterator[tuple[str, str, obj
         yield where or name, name, stream
 
 
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows: list[tuple] = []
-            line_id = 0
-            try:
-                for place, member, stream in _members(path, io.BytesIO(content)):
-                    for text in _text_lines(stream):
-                        rows.append((f"{path}!{place}", member, line_id, text, None))
-                        line_id += 1
-                        if len(rows) >= BATCH_LINES:
-                            yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
-                            rows = []
-            except _UNREADABLE as e:
-                rows.append((path, None, line_id, None, f"{type(e).__name__}: {e}"))
-            if rows:
-                yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
+def _member_lines(path: str, stream, only: str | None = None) -> Iterator[pd.DataFrame]:
+    """Line batches of one archive, or of its member ``only`` (itself an archive perhaps)."""
+    rows: list[tuple] = []
+    line_id = 0
+    try:
+        for place, member, text in _members(path, stream, only=only):
+            for line in _text_lines(text):
+                rows.append((f"{path}!{place}", member, line_id, line, None))
+                line_id += 1
+                if len(rows) >= BATCH_LINES:
+                    yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
+                    rows = []
+    except _UNREADABLE as e:
+        rows.append((path, None, line_id, None, f"{type(e).__name__}: {e}"))
+    if rows:
+        yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
 
 
 def explode_archives(archives: DataFrame) -> DataFrame:
@@ -94,9 +94,63 @@ def explode_archives(archives: DataFrame) -> DataFrame:
 
     Every member becomes a source named by its path in the archive; zip and gzip members are opened at any
     depth; members with binary endings are skipped. An unreadable archive gives one row with a ``reason``,
-    after the lines that could still be read.
+    after the lines that could still be read. For archives in files see :func:`read_archives`.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                yield from _member_lines(path, io.BytesIO(content))
+
+    return archives.select("path", "content").mapInPandas(explode, MEMBER_SCHEMA)
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, member, size, reason) of the top-level members of zip files; a gzipped zip counts as one."""
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                if _ending(path) != "zip":
+                    rows = [(path, None, 0, None)]
+                else:
+                    fs, inner = locate(path)
+                    with fs.open_input_file(inner) as f, zipfile.ZipFile(f) as archive:
+                        rows = [(path, i.filename, i.file_size, None) for i in archive.infolist() if not i.is_dir()]
+            except _UNREADABLE as e:
+                rows = [(path, None, 0, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=["path", "member", "size", "reason"])
+
+
+def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, member in zip(batch["path"], batch["member"]):
+            fs, inner = locate(path)
+            try:
+                stream = fs.open_input_file(inner)
+            except OSError as e:
+                yield pd.DataFrame([(path, None, 0, None, f"{type(e).__name__}: {e}")], columns=MEMBER_SCHEMA.names)
+                continue
+            with stream:
+                yield from _member_lines(path, stream, only=member)
+
+
+def read_archives(spark: SparkSession, paths) -> DataFrame:
+    """Exploded lines of the zip files at ``paths`` (files or folders), as :func:`explode_archives` gives them.
+
+    The members are listed first and then spread over all cores, so one archive with many members is read
+    by many tasks. Files are streamed, not loaded.
     """
-    return archives.select("path", "content").mapInPandas(_explode, MEMBER_SCHEMA)
+    cores = spark.sparkContext.defaultParallelism
+    listed = list_zips(spark, paths).repartition(cores, "path").mapInPandas(
+        _entries, "path string, member string, size long, reason string"
+    )
+    listed = settle(listed)
+    damaged = listed.filter(F.col("reason").isNotNull()).select(
+        F.col("path").alias("archive"), F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("line_id"),
+        F.lit(None).cast("string").alias("value"), "reason",
+    )
+    readable = listed.filter(F.col("reason").isNull()).repartition(cores, "path", "member")
+    return readable.select("path", "member").mapInPandas(_read_entries, MEMBER_SCHEMA).unionByName(damaged)
 
 
 def archive_lines(exploded: DataFrame) -> DataFrame:
@@ -113,8 +167,3 @@ def archive_lines(exploded: DataFrame) -> DataFrame:
 def rejected(exploded: DataFrame) -> DataFrame:
     """Archives that could not be read to the end: (path, reason)."""
     return exploded.filter(F.col("reason").isNotNull()).select(F.col("archive").alias("path"), "reason")
-
-
-def read_archives(spark: SparkSession, paths) -> DataFrame:
-    """Exploded lines of the zip archives at ``paths`` (files or folders)."""
-    return explode_archives(read_zip_files(spark, paths))

@@ -13,14 +13,12 @@ def _ordered(entries: DataFrame, *first: str) -> DataFrame:
     return entries.orderBy(*first, *[c for c in ORDER if c in entries.columns])
 
 
-def export_view(entries: DataFrame, path: str, compression: str = "none", single_file: bool = False) -> None:
+def export_view(entries: DataFrame, path: str, compression: str = "none") -> None:
     """Write the raw text of all entries in time order, one newline after each.
 
-    The parts of the folder, read in name order, give the whole text. ``single_file`` writes one part and
-    suits only what one task can write.
+    The parts of the folder, read in name order, give the whole text.
     """
-    text = _ordered(entries).select("raw")
-    (text.coalesce(1) if single_file else text).write.option("compression", compression).text(path)
+    _ordered(entries).select("raw").write.option("compression", compression).text(path)
 
 
 def export_views(entries: DataFrame, path: str, compression: str = "none", view: str = "view") -> None:

@@ -57,7 +57,6 @@ def is_binary(content: Column, compat: bool = False) -> Column:
 
 # Folder scans list these names only, so other files are never opened.
 _TEXT_GLOB = "*.{[lL][oO][gG],[tT][xX][tT],[gG][zZ]}"
-_ZIP_GLOB = "*.[zZ][iI][pP]"
 
 
 def split_paths(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
@@ -134,13 +133,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def read_zip_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, content) of the zip archives among ``paths``."""
-    files, folders = split_paths(spark, paths)
-    scans = _scan(spark, "binaryFile", [f for f in files if f.lower().endswith((".zip", ".zip.gz"))], folders, _ZIP_GLOB)
-    if not scans:
-        return spark.createDataFrame([], "path string, content binary")
-    return _all([s.select("path", "content") for s in scans])
+def list_zips(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path) of the zip archives among ``paths``; only the listing is read."""
+    return list_files(spark, paths).filter(F.col("name").rlike(r"(?i)\.zip(?:\.gz)?\z")).select("path")
 
 
 HEADS_SCHEMA = T.StructType(
@@ -152,8 +147,15 @@ HEADS_SCHEMA = T.StructType(
 )
 
 
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path, for reading a file inside a task."""
+    if ":" not in path:
+        path = f"file://{os.path.abspath(path)}"
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def _first_bytes(path: str, n: int) -> bytes:
-    fs, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if ":" in path else "file://" + os.path.abspath(path))
+    fs, inner = locate(path)
     with fs.open_input_stream(inner, compression=None) as stream:
         if not path.lower().endswith(".gz"):
             return stream.read(n)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logweave.functions.predicates import FACETS
 from logweave.functions.fields import view_title
+from logweave.functions.predicates import FACETS
 from logweave.schema import DISCONNECT, REMOTE_APP
 from logweave.streaming.events import XML_END
 
@@ -39,6 +39,10 @@ class _Framing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        cuts = lines["line"].str.contains(XML_END, regex=False) | (lines["event_kind"] == DISCONNECT)
+        if not cuts.any():
+            self._open.appendList([(x,) for x in lines["line"]])
+            return
         waiting = [r[0] for r in self._open.get()] if self._open.exists() else []
         frames = []
         for seq, line, kind in zip(lines["seq"], lines["line"], lines["event_kind"]):
@@ -52,7 +56,8 @@ class _Framing(StatefulProcessor):
         self._open.clear()
         if waiting:
             self._open.put([(x,) for x in waiting])
-        yield pd.DataFrame(frames, columns=FRAME_SCHEMA.names)
+        if frames:
+            yield pd.DataFrame(frames, columns=FRAME_SCHEMA.names)
 
     def close(self) -> None:
         pass
@@ -62,7 +67,9 @@ def frame_xml_stream(lines: DataFrame) -> DataFrame:
     """Streaming twin of :func:`logweave.streaming.events.frame_xml`: (remote, seq, xml).
 
     ``lines`` has remote, seq, line and event_kind; a disconnect drops the unfinished lines. The order of a
-    connection is that of ``seq``, within a micro-batch and from one to the next.
+    connection is that of ``seq``, within a micro-batch and from one to the next. Bound the micro-batch at
+    the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): the lines of one connection in one
+    micro-batch are framed together.
     """
     return (
         lines.select("remote", "seq", "line", "event_kind")

@@ -102,11 +102,14 @@ def test_block_size_does_not_matter(spark):
     assert "\n".join(r[2] for r in results[0]) == "\n".join(lines)
 
 
-def test_entries_inside_a_chunk_are_not_shuffled_again(spark):
+def test_lines_are_read_and_shuffled_once(spark):
+    folder = tempfile.mkdtemp(prefix="logweave-once-")
     rows = [("p", "p", 0, i, str(i), i % 3 == 0) for i in range(100)]
     schema = "source_path string, source string, block_start long, line_id long, value string, is_start boolean"
-    df = stitch(spark.createDataFrame(rows, schema))
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    inside = df._jdf.queryExecution().executedPlan().toString().split("\n   +- ", 1)[0]
-    assert "listagg" in inside and inside.count("Exchange hashpartitioning") == 1
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/lines")
+    df = stitch(spark.read.parquet(f"{folder}/lines"))
+    assert df.count() == 34
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 3
+    assert "CartesianProduct" not in final and "NestedLoop" not in final

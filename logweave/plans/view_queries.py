@@ -236,10 +236,9 @@ def e01(spark, sf_dir):
     return _synced(r.event_entries(spark, sf_dir), F.lit(True))
 
 
-@query("e02_synced_to_rows", f"WITH {EVENTS} {_ASOF.format(anchors=chr(39) + 'ERROR' + chr(39) + ' = lvl AND user_id < 40')}")
+@query("e02_synced_to_rows", f"WITH {EVENTS} {_ASOF.format(anchors="lvl = 'ERROR'")}")
 def e02(spark, sf_dir):
-    chosen = (F.col("level") == "ERROR") & (F.substring_index("thread", "-", -1).cast("int") < 40)
-    return _synced(r.event_entries(spark, sf_dir), chosen)
+    return _synced(r.event_entries(spark, sf_dir), F.col("level") == "ERROR")
 
 
 @query(
@@ -435,11 +434,11 @@ def f05(spark, sf_dir):
 
 @query(
     "f06_source_counts",
-    f"""WITH {EVENTS} SELECT event_type AS view, count(DISTINCT source) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS sources
-        FROM ev WHERE event_type <> 'click' OR event_id % 7 <> 0 GROUP BY event_type""",
+    f"""WITH {EVENTS}, s AS (SELECT view, CASE WHEN lvl = 'INFO' AND thr = 'user-7' THEN NULL ELSE source END AS source FROM ev)
+    SELECT view, count(DISTINCT source) + CAST(max(CAST(source IS NULL AS INTEGER)) AS BIGINT) AS sources FROM s GROUP BY view""",
 )
 def f06(spark, sf_dir):
-    gone = (F.col("view") == "click") & (F.col("event_id") % 7 == 0)
+    gone = (F.col("level") == "INFO") & (F.col("thread") == "user-7")
     entries = r.event_entries(spark, sf_dir).withColumn("source", F.when(~gone, F.col("source")))
     return entries.groupBy("view").agg(profile.source_count().alias("sources"))
 

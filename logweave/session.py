@@ -66,13 +66,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | Non
     return F.broadcast(df) if fits else None
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 64) -> DataFrame:
+def attach(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 64, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Join ``big`` with ``small`` (unique on ``on``): broadcast while small, salted shuffle beyond.
 
     The salted form spreads each key of ``big`` over ``salts`` tasks by hashing the whole row, so one
     key holding a large share of the rows does not end up in one task. ``small`` is repeated per salt.
     """
-    marked = small_side(small)
+    marked = small_side(small, max_rows)
     if marked is not None:
         return big.join(marked, on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

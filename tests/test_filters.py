@@ -75,8 +75,8 @@ def test_profiles(df):
 def test_scalar_fields(spark):
     one = spark.range(1)
     pod = lambda x: one.select(fields.workload_name(F.lit(x))).first()[0]
-    assert pod("auditrepository-7fcd847b65-rkdlp") == "auditrepository"
-    assert pod("act4telerad-0") == "act4telerad" and pod("plain") == "plain"
+    assert pod("audit-7fcd847b65-rkdlp") == "audit"
+    assert pod("viewer-0") == "viewer" and pod("plain") == "plain"
     assert one.select(fields.safe_file_name(F.lit("a b/ü.log"))).first()[0] == "a_b__.log"
     got = one.select(fields.short_logger(F.lit(None).cast("string")), fields.clock_text(F.lit(None).cast("timestamp_ntz"))).first()
     assert tuple(got) == ("", "")
@@ -89,9 +89,9 @@ def test_scalar_fields(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-LISTING = """apps|act4telerad-0|postgres,istio-proxy
-apps\tduinsight-74c9d97fb4-prj9x\tapp istio-proxy
-apps   dicomservices-7db7d4b67b-sgtbm   app, istio-proxy
+LISTING = """apps|viewer-0|postgres,istio-proxy
+apps\tinsight-74c9d97fb4-prj9x\tapp istio-proxy
+apps   imaging-7db7d4b67b-sgtbm   app, istio-proxy
 kube-system | coredns-5dd5bcc9f7-xsc7n | coredns
 
 lonely
@@ -108,9 +108,9 @@ def pods(spark):
 def test_listing(pods):
     got = {(r.namespace, r.pod): r.containers for r in pods.collect()}
     assert got == {
-        ("apps", "act4telerad-0"): ["postgres", "istio-proxy"],
-        ("apps", "duinsight-74c9d97fb4-prj9x"): ["app", "istio-proxy"],
-        ("apps", "dicomservices-7db7d4b67b-sgtbm"): ["app", "istio-proxy"],
+        ("apps", "viewer-0"): ["postgres", "istio-proxy"],
+        ("apps", "insight-74c9d97fb4-prj9x"): ["app", "istio-proxy"],
+        ("apps", "imaging-7db7d4b67b-sgtbm"): ["app", "istio-proxy"],
         ("kube-system", "coredns-5dd5bcc9f7-xsc7n"): ["coredns"],
         ("apps", "bare-1"): [],
         ("apps", "bare-2"): [],
@@ -122,9 +122,9 @@ def test_listing(pods):
 def test_container_search(pods):
     flat = containers.flat_containers(pods)
     count = lambda **k: containers.filter_containers(flat, **k).count()
-    assert (count(search="kube"), count(search="duinsight"), count(search=" COREDNS "), count(search="none")) == (1, 2, 1, 0)
+    assert (count(search="kube"), count(search="insight"), count(search=" COREDNS "), count(search="none")) == (1, 2, 1, 0)
     assert count(search="") == 9
-    assert count(selections={"pod": ["duinsight"], "container": ["app"]}) == 1
+    assert count(selections={"pod": ["insight"], "container": ["app"]}) == 1
     got = {(r.facet, r.value) for r in containers.container_options(flat, {"container": ["coredns"]}).collect()}
     assert ("namespace", "kube-system") in got and ("namespace", "apps") not in got and ("container", "app") in got
 
@@ -132,8 +132,8 @@ def test_container_search(pods):
 def test_path_patterns(pods):
     flat = containers.flat_containers(pods)
     pick = lambda p: {r.path.split("/", 1)[1]: r.pattern for r in containers.select_paths(flat, p).collect()}
-    assert pick("apps/act*/postgres") == {"act4telerad-0/postgres": 0}
-    assert pick("*/app") == {"duinsight-74c9d97fb4-prj9x/app": 0, "dicomservices-7db7d4b67b-sgtbm/app": 0}
+    assert pick("apps/view*/postgres") == {"viewer-0/postgres": 0}
+    assert pick("*/app") == {"insight-74c9d97fb4-prj9x/app": 0, "imaging-7db7d4b67b-sgtbm/app": 0}
     assert pick("coredns, kube-system/*") == {"coredns-5dd5bcc9f7-xsc7n/coredns": 0}
-    assert pick("act*") == {}
-    assert pick("apps/act4telerad-?/istio.proxy") == {}
+    assert pick("view*") == {}
+    assert pick("apps/viewer-?/istio.proxy") == {}

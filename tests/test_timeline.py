@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logweave.functions.predicates import text_match
 from logweave.operators import search, timeline
 from logweave.operators.ordered import carry_forward
+from logweave.session import attach, small_side
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -147,3 +148,18 @@ def test_search_steps(spark):
             got = one(search.find_next_in_views(df, match, views, ["k"], view, [cursor], backward))
             assert got == want
     assert one(search.find_next(df, text_match("absent"), ["k"])) is None
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_attach_is_the_same_with_and_without_broadcast(spark, how):
+    big = spark.createDataFrame([("hot" if i % 3 else str(i % 7), i) for i in range(300)], "k string, i long")
+    small = spark.createDataFrame([("hot", 1), ("0", 2), ("3", 3), ("unused", 4)], "k string, v int")
+    broadcast = attach(big, small, ["k"], how)
+    salted = attach(big, small, ["k"], how, salts=8, max_rows=1)
+    assert small_side(small, 3) is None
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    rows = lambda df: sorted((r.k, r.i, r.v or 0) for r in df.collect())
+    known = {"hot": 1, "0": 2, "3": 3}
+    keys = [("hot" if i % 3 else str(i % 7), i) for i in range(300)]
+    want = sorted((k, i, known.get(k, 0)) for k, i in keys if how == "left" or k in known)
+    assert rows(broadcast) == rows(salted) == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave.llm.exact_dedup import exact_groups
 from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
+from logweave.llm.simhash import simhash_groups
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,6 +24,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    bits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select("doc_id", bits.alias("fingerprint"), "component_id")
+
+
 @query(
     "op10_source_mix",
     """

@@ -9,10 +9,18 @@ from logweave.llm.exact_dedup import exact_groups
 from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
 from logweave.llm.simhash import simhash_groups
+from logweave.llm.token_files import token_output
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def byte_bpe_50k() -> str:
+    """Place of the tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query(
     "op4_exact_dedup",
     """
@@ -31,6 +39,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", bits.alias("fingerprint"), "component_id")
 
 
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), byte_bpe_50k(), end_id=2)
+
+
 @query(
     "op10_source_mix",
     """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave.llm.exact_dedup import exact_groups
 from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
+from logweave.llm.secrets import KINDS, find_secrets, span_text
 from logweave.llm.simhash import simhash_groups
 from logweave.llm.token_files import token_output
 
@@ -44,6 +45,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), byte_bpe_50k(), end_id=2)
 
 
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"), owner_col="source", repo_col="doc_id", example_owners=3)
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("token"))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 @query(
     "op10_source_mix",
     """

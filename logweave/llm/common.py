@@ -44,3 +44,9 @@ def fresh(name: str, taken: list[str]) -> str:
 def whole_text(column: str | Column) -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def crc_remainder(id_col: str | Column, modulus: int) -> Column:
+    """CRC-32 of the id as text, modulo ``modulus``; 0 for a null id, which is therefore never learned from."""
+    key = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    return F.coalesce(F.crc32(key.cast("binary")) % modulus, F.lit(0))

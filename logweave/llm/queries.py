@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.exact_dedup import exact_groups
+from logweave.llm.language_id import identify
 from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
 from logweave.llm.secrets import KINDS, find_secrets, span_text
 from logweave.llm.simhash import simhash_groups
 from logweave.llm.token_files import token_output
+from logweave.llm.toxicity import score_documents
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -22,6 +24,16 @@ def byte_bpe_50k() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), folds=5)
+
+
 @query(
     "op4_exact_dedup",
     """

@@ -111,3 +111,15 @@ class Rolling:
     def words(self, words: Words) -> np.ndarray:
         """A hash for each word."""
         return self.runs(self.values[words.data], words.start, words.end)
+
+
+def distinct_words(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice of texts, A-Z lower-cased: bytes and bounds of the distinct words, each with a blank at its end; the word
+    number of each token; the number of each text's first token (one more for the end)."""
+    words = Words(LOWER[part], at)
+    buffer, start, _ = words.joined()
+    offsets = np.append(start, len(buffer)).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)])
+    coded = tokens.dictionary_encode()
+    data, bounds = text_bytes(coded.dictionary)
+    return data, bounds, np.asarray(coded.indices).astype(np.int64), words.first

@@ -213,9 +213,11 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
 
 
 def _sorted(names: list[str], rows: list[list[float]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    points = np.array([[ord(c) for c in name] for name in names], np.uint32).reshape(len(names), -1)
-    n = points.shape[1]
-    keys = _hash(points.ravel(), (np.arange(len(names)) + 1) * n, n) if n else np.full(len(names), _hash(points.ravel(), np.zeros(1, np.int64), 0)[0])
+    if not names:
+        return np.zeros(0, np.uint64), np.zeros((0, width))
+    n = len(names[0])
+    points = np.array([ord(c) for name in names for c in name], np.uint32)
+    keys = _hash(points, (np.arange(len(names)) + 1) * n, n)
     order = np.argsort(keys)
     return keys[order], np.log(np.array(rows, float).reshape(len(names), width))[order]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave.llm.decontaminate import leaks
 from logweave.llm.exact_dedup import exact_groups
 from logweave.llm.language_id import identify
+from logweave.llm.lm_score import score_texts
 from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
 from logweave.llm.secrets import KINDS, find_secrets, span_text
@@ -35,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=5)
 
 
+@query("op3_lm_score")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), folds=10)
+
+
 @query(
     "op4_exact_dedup",
     """

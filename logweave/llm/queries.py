@@ -13,6 +13,7 @@ from logweave.llm.mixing import mix_sources
 from logweave.llm.registry import ORACLES, QUERIES, query, table
 from logweave.llm.secrets import KINDS, find_secrets, span_text
 from logweave.llm.simhash import simhash_groups
+from logweave.llm.substring import remove_repeats
 from logweave.llm.token_files import token_output
 from logweave.llm.toxicity import score_documents
 
@@ -57,6 +58,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=3)

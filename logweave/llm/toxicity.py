@@ -12,7 +12,7 @@ from logweave.llm.common import crc_remainder
 from logweave.llm.words import Rolling, distinct_words, slices, text_bytes
 
 # Bounds of the training sample: documents per label, chosen by a hash of the id.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1200, 0: 3000}
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
@@ -21,7 +21,7 @@ BATCH = 128
 # Averages over whole texts are small numbers; the softmax sees them times this.
 GAIN = 50.0
 # A toxic text that is missed costs so much more than a clean one that is accused.
-MISSED = 2.0
+MISSED = 1.5
 # Blank words added to each average, so that one odd word does not decide over a short text.
 PAD = 10
 # Squared gradient a subword starts with: those seen a few times only move little.
@@ -120,9 +120,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     for low in range(0, len(order), BATCH):
         pick = order[low : low + BATCH]
         size = np.array([len(bags[k][0]) for k in pick])
-        row = np.repeat(np.arange(len(pick)), size)
+        row = np.repeat(np.arange(len(pick), dtype=np.int32), size)
         kinds, local = np.unique(np.concatenate([bags[k][0] for k in pick]), return_inverse=True)
-        steps.append((pick, row, local, np.concatenate([bags[k][1] for k in pick]), kinds))
+        share = np.concatenate([bags[k][1] for k in pick]).astype(np.float32)
+        steps.append((pick, row, local.astype(np.int32), share, kinds))
     seen_embed, seen_soft, seen_bias = np.full(BUCKETS, CALM), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     for turn in range(PASSES):
         rate = 0.5 * (1 - turn / PASSES)
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Ids may repeat in the documents; the bound holds for rows too.
     table = got.orderBy("id", F.xxhash64("kinds")).limit(sum(SAMPLE.values())).toArrow()
     bags = [
-        (np.frombuffer(k, "<i4").astype(np.int64), np.frombuffer(s, "<f4").astype(np.float64))
+        (np.frombuffer(k, "<i4"), np.frombuffer(s, "<f4"))
         for k, s in zip(table["kinds"].to_pylist(), table["shares"].to_pylist(), strict=True)
     ]
     filled = [k for k, b in enumerate(bags) if len(b[0])]

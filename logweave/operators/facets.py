@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.predicates import FACETS, all_of, row_filter, valid_regex
+from logweave.operators.profile import entry_once
 
 
 def _options(df: DataFrame, values: Mapping[str, Column], conditions: Mapping[str, Column | None]) -> DataFrame:
-    """(facet, value, total, n): rows with the value, and those that pass all other conditions.
+    """(facet, value, total, n): entries with the value, and those that pass all other conditions.
 
     One scan and one shuffle for all facets; counts are combined before the shuffle.
     """
@@ -24,7 +25,7 @@ def _options(df: DataFrame, values: Mapping[str, Column], conditions: Mapping[st
         for name, value in values.items()
     ]
     return (
-        df.select(F.inline(F.array(*rows)))
+        df.filter(entry_once(df)).select(F.inline(F.array(*rows)))
         .filter(F.col("value") != "")
         .groupBy("facet", "value")
         .agg(F.count(F.lit(1)).alias("total"), F.count_if("passes").alias("n"))

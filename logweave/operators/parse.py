@@ -43,7 +43,8 @@ def parse_lines(
 ) -> DataFrame:
     """Parse lines into entries: start test, stitching, then typed fields of each entry's first line.
 
-    Fields are read after stitching, so only the raw text is shuffled. ``base_date`` (a date, a Column or a
+    Fields are read after stitching, so only the raw text is shuffled. An entry above ``max_part_bytes`` goes on in further
+    ``part`` rows with the fields of its first line and the text as message; counts of entries take part 0. ``base_date`` (a date, a Column or a
     ``base_date`` column of ``lines``) completes time-only stamps; without any of them it is today.
     ``keep`` names columns of ``lines`` that are constant per source.
     """
@@ -52,7 +53,7 @@ def parse_lines(
     entries = stitch(flagged, keep=carried, chunk_bits=chunk_bits, max_part_bytes=max_part_bytes)
     first = entries.withColumn(
         "first_text",
-        F.when(F.col("headed") & (F.col("part") == 0), F.substring_index("raw", "\n", 1)),
+        F.when(F.col("headed"), F.coalesce("head", F.substring_index("raw", "\n", 1))),
     )
     parsed = read_lines(first, fmt, base_date, base_year, text="first_text")
     rest = F.substr("raw", F.length("first_text") + 1)
@@ -61,7 +62,7 @@ def parse_lines(
         F.col("fields.timestamp").alias("timestamp"),
         *[c.alias(f) for f, c in text.items()],
         F.lit(0).alias("port"),
-        F.coalesce(F.concat("fields.message", rest), F.col("raw")).alias("message"),
+        F.coalesce(F.when(F.col("part") == 0, F.concat("fields.message", rest)), F.col("raw")).alias("message"),
         "source",
         "raw",
     ]

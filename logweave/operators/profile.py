@@ -20,14 +20,20 @@ def with_app(df: DataFrame) -> DataFrame:
     return attach(df, apps, ["source"], "left")
 
 
+def entry_once(entries: DataFrame) -> Column:
+    """True in one row per entry: large entries go on in further parts."""
+    return F.col("part") == 0 if "part" in entries.columns else F.lit(True)
+
+
 def by_application(entries: DataFrame) -> DataFrame:
     """Entries, distinct files, errors, time span and title per application."""
+    once = entry_once(entries)
     return (
         entries.groupBy("app")
         .agg(
-            F.count(F.lit(1)).alias("entries"),
+            F.count_if(once).alias("entries"),
             F.count_distinct(base_name("source")).alias("files"),
-            F.count_if(severity("level") == "error").alias("errors"),
+            F.count_if(once & (severity("level") == "error")).alias("errors"),
             F.min("timestamp").alias("first_ts"),
             F.max("timestamp").alias("last_ts"),
         )
@@ -57,11 +63,11 @@ def source_count(by: str | None = None) -> Column:
 
 def observed(entries: DataFrame, name: str = "load") -> tuple[DataFrame, Observation]:
     """The entries, plus an observation that holds their number and errors once they have been written."""
-    seen = Observation(name)
+    seen, once = Observation(name), entry_once(entries)
     watched = entries.observe(
         seen,
-        F.count(F.lit(1)).alias("entries"),
-        F.count_if(F.col("timestamp").isNotNull()).alias("timed"),
-        F.count_if(severity("level") == "error").alias("errors"),
+        F.count_if(once).alias("entries"),
+        F.count_if(once & F.col("timestamp").isNotNull()).alias("timed"),
+        F.count_if(once & (severity("level") == "error")).alias("errors"),
     )
     return watched, seen

@@ -42,7 +42,8 @@ def stitch(
     ``lines`` needs the line key, ``value`` and the boolean column ``is_start``. Lines before the first
     start of a source form one header entry. The result has one row per entry: the key of its first line,
     the columns in ``keep`` (constant per source), ``raw`` with the lines joined by ``\\n``, ``headed``
-    (false for a header) and ``part`` (0 except for entries above ``max_part_bytes``).
+    (false for a header), ``part`` (0 except for entries above ``max_part_bytes``) and ``head``, the entry's first line in
+    its rows after part 0, null elsewhere.
 
     With ``closing`` the flag marks the last line of an entry instead: each line is joined to the next
     flagged one, the key is that of the flagged line, and unflagged lines at the end are the headless rest.
@@ -77,12 +78,13 @@ def stitch(
 
     # Most entries are one line between two starts; only the others need an aggregate.
     single = F.col("start_id").isNotNull() & F.col("next_start").isNotNull()
-    whole = [*_CHUNK[:2], "line_id", *keep, "raw", F.lit(True).alias("headed"), F.lit(0).alias("part")]
+    whole = [*_CHUNK[:2], "line_id", *keep, "raw", F.lit(True).alias("headed"), F.lit(0).alias("part"),
+             F.lit(None).cast("string").alias("head")]
     one_line = runs.filter(single).withColumnRenamed("value", "raw").select(*whole)
     inside = one_line.unionByName(_joined(runs.filter(closed & ~single), by, way).select(*whole))
 
     pieces = _joined(runs.filter(~closed | closed.isNull()), by, way).withColumn("tail", F.col("first_line").isNotNull())
-    # Owner of a piece: the last start at or before it. Only keys and sizes go through this per-source window.
+    # Owner of a piece: the last start at or before it. Only keys, sizes and first lines go through this per-source window.
     path = Window.partitionBy("source_path").orderBy("block_start", "chunk", "tail")
     before = path.rowsBetween(Window.unboundedPreceding, 0)
     start = F.when(F.col("tail"), F.struct("block_start", "line_id"))
@@ -92,18 +94,27 @@ def stitch(
         F.last(start, ignorenulls=True).over(before).alias("owner"),
         F.first(F.struct("block_start", "line_id")).over(before).alias("source_head"),
         (F.octet_length("raw") + 1).cast("long").alias("size"),
+        F.when(F.col("tail"), F.substring_index("raw", "\n", 1)).alias("line"),
     )
     growing = Window.partitionBy("source_path", "owner").orderBy("block_start", "chunk", "tail")
     offset = F.coalesce(F.sum("size").over(growing.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    owners = owners.withColumn("part", F.floor(offset / F.lit(max_part_bytes)).cast("int")).drop("size")
+    owners = owners.withColumns(
+        {
+            "part": F.floor(offset / F.lit(max_part_bytes)).cast("int"),
+            "head": F.first("line").over(growing.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).drop("size", "line")
 
     crossing = (
         pieces.join(owners, [*_CHUNK, "tail"])
         .withColumn("headed", F.col("owner").isNotNull())
         .withColumn("key", F.coalesce("owner", "source_head"))
         .groupBy("source_path", "key", "headed", "part", *keep)
-        .agg(_listagg("raw", f"block_start {way}, chunk {way}, tail {way}").alias("raw"))
-        .select("source_path", "key.block_start", "key.line_id", *keep, "raw", "headed", "part")
+        .agg(
+            _listagg("raw", f"block_start {way}, chunk {way}, tail {way}").alias("raw"),
+            F.min(F.when(F.col("part") > 0, F.col("head"))).alias("head"),
+        )
+        .select("source_path", "key.block_start", "key.line_id", *keep, "raw", "headed", "part", "head")
     )
     entries = inside.unionByName(crossing)
     return entries.withColumns(flip) if closing else entries

@@ -29,18 +29,20 @@ def load_logs(
     formats: Sequence[LogFormat] | None = None,
     base_date=None,
     compat: bool = False,
+    head_bytes: int = HEAD_BYTES,
 ) -> Loaded:
     """Load plain, gzip and zip logs: detect each file's format, parse, stitch and group by application.
 
     Folders are read one level deep for log names, missing paths are ignored, binary files give no entries.
-    Detection reads the first 128 KiB of each file only. What cannot be read ends up in ``rejects``.
+    Paths may overlap; each file is read once. Detection reads the first ``head_bytes`` of each file (128 KiB; give more for
+    files with long banners). What cannot be read ends up in ``rejects``.
     """
     formats = list(formats if formats is not None else default_formats())
     files = settle(list_files(spark, paths))
     is_zip, is_7z = F.col("path").rlike(r"(?i)\.zip(?:\.gz)?\z"), F.col("path").rlike(r"(?i)\.7z\z")
     today = F.lit(base_date).cast("date") if base_date is not None else F.current_date()
 
-    heads = settle(read_heads(files.filter(~is_zip & ~is_7z), HEAD_BYTES))
+    heads = settle(read_heads(files.filter(~is_zip & ~is_7z), head_bytes))
     unread = heads.filter(F.col("reason").isNotNull()).select(F.col("source_path").alias("path"), "reason")
     rejects = unread.unionByName(files.filter(is_7z).select("path", F.lit("7z is not supported").alias("reason")))
     texts = heads.filter(F.octet_length("content") > 0).filter(~is_binary(F.col("content"), compat))
@@ -55,7 +57,7 @@ def load_logs(
     if not files.filter(is_zip).isEmpty():
         members = settle(read_archives(spark, paths))
         inner = archive_lines(members).withColumn("base_date", today)
-        texts = settle(heads_of(inner)).filter(~is_binary(F.col("head").cast("binary"), compat))
+        texts = settle(heads_of(inner, head_bytes)).filter(~is_binary(F.col("head").cast("binary"), compat))
         names = inner.select("source_path", "source").distinct()
         names = names.select("source_path", app_name(base_name("source")).alias("app"))
         found = detect_formats(texts, formats, today).join(names, "source_path")

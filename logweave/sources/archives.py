@@ -6,6 +6,7 @@ import gzip
 import io
 import zipfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,26 +40,33 @@ def _text_lines(stream) -> Iterator[str]:
         yield line.removesuffix("\n")
 
 
-def _members(name: str, stream, where: str = "", only: str | None = None) -> Iterator[tuple[str, str, object]]:
-    """(place, source name, byte stream) of every readable text member, depth first.
+def _members(name: str, stream, where: str = "", only: int | None = None) -> Iterator[tuple[str, str, object]]:
+    """(place, source name, byte stream) of every readable text member, depth first; no stream for an inner 7z archive.
 
-    ``place`` tells members of equal name in different inner archives apart.
+    ``place`` tells members of equal name apart, by the inner archive and, within one, by a number. ``only`` is the
+    ordinal of the one top-level member to read.
     """
     kind = _ending(name)
     if kind == "zip":
         seekable = stream if stream.seekable() else io.BytesIO(stream.read())
         with zipfile.ZipFile(seekable) as archive:
-            for info in archive.infolist():
-                if info.is_dir() or (only is not None and info.filename != only):
+            seen: Counter[str] = Counter()
+            for ordinal, info in enumerate(archive.infolist()):
+                inner, again = info.filename, seen[info.filename]
+                seen[inner] += 1
+                if info.is_dir() or (only is not None and ordinal != only):
                     continue
-                inner, place = info.filename, f"{where}{info.filename}"
-                if _ending(inner) in SKIPPED_ENDINGS and _ending(inner) not in ("zip", "gz"):
+                place = f"{where}{inner}" + (f"#{again + 1}" if again else "")
+                if _ending(inner) == "7z":
+                    yield place, inner, None
+                elif _ending(inner) in SKIPPED_ENDINGS and _ending(inner) not in ("zip", "gz"):
                     continue
-                with archive.open(info) as member:
-                    if _ending(inner) in ("zip", "gz"):
-                        yield from _members(inner, member, f"{place}!")
-                    else:
-                        yield place, inner, member
+                else:
+                    with archive.open(info) as member:
+                        if _ending(inner) in ("zip", "gz"):
+                            yield from _members(inner, member, f"{place}!")
+                        else:
+                            yield place, inner, member
     elif kind == "gz":
         inner = name[:-3]
         with gzip.GzipFile(fileobj=stream) as unpacked:
@@ -71,12 +79,15 @@ def _members(name: str, stream, where: str = "", only: str | None = None) -> Ite
         yield where or name, name, stream
 
 
-def _member_lines(path: str, stream, only: str | None = None) -> Iterator[pd.DataFrame]:
+def _member_lines(path: str, stream, only: int | None = None) -> Iterator[pd.DataFrame]:
     """Line batches of one archive, or of its member ``only`` (itself an archive perhaps)."""
     rows: list[tuple] = []
     line_id = 0
     try:
         for place, member, text in _members(path, stream, only=only):
+            if text is None:
+                rows.append((f"{path}!{place}", None, line_id, None, "7z is not supported"))
+                continue
             for line in _text_lines(text):
                 rows.append((f"{path}!{place}", member, line_id, line, None))
                 line_id += 1
@@ -106,24 +117,24 @@ def explode_archives(archives: DataFrame) -> DataFrame:
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, member, size, reason) of the top-level members of zip files; a gzipped zip counts as one."""
+    """(path, ordinal, reason) of the top-level members of zip files; a gzipped zip counts as one without ordinal."""
     for batch in batches:
         for path in batch["path"]:
             try:
                 if _ending(path) != "zip":
-                    rows = [(path, None, 0, None)]
+                    rows = [(path, None, None)]
                 else:
                     fs, inner = locate(path)
                     with fs.open_input_file(inner) as f, zipfile.ZipFile(f) as archive:
-                        rows = [(path, i.filename, i.file_size, None) for i in archive.infolist() if not i.is_dir()]
+                        rows = [(path, k, None) for k, i in enumerate(archive.infolist()) if not i.is_dir()]
             except _UNREADABLE as e:
-                rows = [(path, None, 0, f"{type(e).__name__}: {e}")]
-            yield pd.DataFrame(rows, columns=["path", "member", "size", "reason"])
+                rows = [(path, None, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=["path", "ordinal", "reason"]).astype({"ordinal": "Int64"})
 
 
 def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, member in zip(batch["path"], batch["member"]):
+        for path, ordinal in zip(batch["path"], batch["ordinal"]):
             fs, inner = locate(path)
             try:
                 stream = fs.open_input_file(inner)
@@ -131,7 +142,7 @@ def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(path, None, 0, None, f"{type(e).__name__}: {e}")], columns=MEMBER_SCHEMA.names)
                 continue
             with stream:
-                yield from _member_lines(path, stream, only=member)
+                yield from _member_lines(path, stream, only=None if pd.isna(ordinal) else int(ordinal))
 
 
 def read_archives(spark: SparkSession, paths) -> DataFrame:
@@ -142,15 +153,15 @@ def read_archives(spark: SparkSession, paths) -> DataFrame:
     """
     cores = spark.sparkContext.defaultParallelism
     listed = list_zips(spark, paths).repartition(cores, "path").mapInPandas(
-        _entries, "path string, member string, size long, reason string"
+        _entries, "path string, ordinal long, reason string"
     )
     listed = settle(listed)
     damaged = listed.filter(F.col("reason").isNotNull()).select(
         F.col("path").alias("archive"), F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("line_id"),
         F.lit(None).cast("string").alias("value"), "reason",
     )
-    readable = listed.filter(F.col("reason").isNull()).repartition(cores, "path", "member")
-    return readable.select("path", "member").mapInPandas(_read_entries, MEMBER_SCHEMA).unionByName(damaged)
+    readable = listed.filter(F.col("reason").isNull()).repartition(cores, "path", "ordinal")
+    return readable.select("path", "ordinal").mapInPandas(_read_entries, MEMBER_SCHEMA).unionByName(damaged)
 
 
 def archive_lines(exploded: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -59,15 +61,29 @@ def is_binary(content: Column, compat: bool = False) -> Column:
 _TEXT_GLOB = "*.{[lL][oO][gG],[tT][xX][tT],[gG][zZ]}"
 
 
+_TEXT_NAME = re.compile(r"[^._].*\.(?:log|txt|gz)", re.IGNORECASE)
+
+
 def split_paths(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[str]]:
-    """(files, folders) among ``paths``; missing ones are left out."""
-    jvm, files, folders = spark._jvm, [], []
+    """(files, folders) among ``paths``, each once; missing ones are left out.
+
+    A file that the scan of a given folder reads anyway is left out too, so no file is scanned twice.
+    """
+    files, folders = {}, {}
     for path in [paths] if isinstance(paths, str) else paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(p):
-            (folders if fs.getFileStatus(p).isDirectory() else files).append(path)
-    return files, folders
+            full = fs.makeQualified(p)
+            found = folders if fs.getFileStatus(p).isDirectory() else files
+            found[full.toString()] = (str(full.getParent()), full.getName())
+    apart = [f for f, (parent, name) in files.items() if parent not in folders or not _TEXT_NAME.fullmatch(name)]
+    return apart, list(folders)
+
+
+def plain_name(name: Column) -> Column:
+    """A file name from the file metadata, which has it percent-encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def _scan(spark: SparkSession, fmt: str, files: list[str], folders: list[str], name_glob: str) -> list[DataFrame]:
@@ -95,7 +111,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     listed = [
         s.select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
+            plain_name(F.col("_metadata.file_name")).alias("name"),
             "length",
             F.col("modificationTime").alias("modified"),
         )
@@ -122,7 +138,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         [
             s.select(
                 F.col("_metadata.file_path").alias("source_path"),
-                source_name(F.col("_metadata.file_name")).alias("source"),
+                source_name(plain_name(F.col("_metadata.file_name"))).alias("source"),
                 F.col("_metadata.file_block_start").alias("block_start"),
                 F.monotonically_increasing_id().alias("line_id"),
                 "value",
@@ -151,6 +167,8 @@ def locate(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path, for reading a file inside a task."""
     if ":" not in path:
         path = f"file://{os.path.abspath(path)}"
+    # Spark leaves letters outside ASCII as they are; a URI has them percent-encoded.
+    path = "".join(c if c.isascii() else quote(c) for c in path)
     return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 

@@ -140,3 +140,40 @@ def test_binary_share(spark):
     df = spark.createDataFrame([(i, bytearray(c)) for i, (c, _, _) in enumerate(cases)], "i int, content binary")
     rows = df.select("i", is_binary(F.col("content")).alias("a"), is_binary(F.col("content"), compat=True).alias("b")).collect()
     assert {r.i: (r.a, r.b) for r in rows} == {i: (a, b) for i, (_, a, b) in enumerate(cases)}
+
+
+def test_overlapping_and_odd_paths(spark):
+    path = tempfile.mkdtemp(prefix="logweave-odd-")
+    odd = "a b%20+ü#1.log"
+    for name in ("app.log", odd):
+        with open(f"{path}/{name}", "w") as f:
+            f.write(text(1) + "  more\n" + text(2))
+    got = load_logs(spark, [path, f"{path}/app.log", f"{path}/{odd}", path + "/", f"{path}/app.log"]).entries.collect()
+    assert sorted((r.source, r.message) for r in got) == sorted(
+        (name, m) for name in ("app.log", odd) for m in ("m1\n  more", "m2")
+    )
+
+
+def test_equal_member_names_and_inner_7z(spark):
+    path = tempfile.mkdtemp(prefix="logweave-zip-")
+    with zipfile.ZipFile(f"{path}/twice.zip", "w") as z:
+        z.writestr("same.log", text(1) + "  one\n")
+        z.writestr(zipfile.ZipInfo("same.log"), text(2) + "  two\n")
+        z.writestr("in.7z", b"7z")
+    loaded = load_logs(spark, path)
+    assert sorted(r.message for r in loaded.entries.collect()) == ["m1\n  one", "m2\n  two"]
+    assert [(os.path.basename(r.path), r.reason) for r in loaded.rejects.collect()] == [("twice.zip!in.7z", "7z is not supported")]
+
+
+def test_parts_keep_fields_and_count_once(spark, lines_of):
+    from logweave.operators.parse import parse_lines
+    from logweave.plans.parse_queries import DEFAULT
+
+    body = "2024-01-01 00:00:01.000 [t] ERROR a.B - big\n" + "\n".join(f"  line {k}" for k in range(40))
+    lines = lines_of({"app.log": text(0) + body + "\n" + text(2).rstrip()})
+    parsed = parse_lines(lines, DEFAULT, chunk_bits=2, max_part_bytes=60).withColumn("app", F.lit("app"))
+    rows = parsed.filter("level = 'ERROR'").collect()
+    assert len(rows) > 3 and {(r.timestamp, r.thread, r.logger) for r in rows} == {(rows[0].timestamp, "t", "a.B")}
+    assert "\n".join(r.raw for r in sorted(rows, key=lambda r: r.part)) == body
+    total = by_application(parsed).first()
+    assert (total.entries, total.errors) == (3, 1)

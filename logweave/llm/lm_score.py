@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from logweave.llm.common import crc_remainder, stored, whole_text
 from logweave.llm.words import Rolling, mix64, text_slices
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 5 << 20
 # Hashes that one bucket gathers, about.
-BUCKET_HASHES = 3_000_000
+BUCKET_HASHES = 2_000_000
 HASH_BITS = 56
 # Context frequencies 0, 1, 2-3, 4-7, ... and steps per octave of the cells in which EM sees the counts.
 CONTEXTS = 32
@@ -263,8 +263,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows count as often as they stand; an empty table gives no rows. ``base_score`` is the unigram model with 0.1 added.
     """
     size = docs.agg(F.sum(F.octet_length(whole_text(text_col)) + 8)).first()[0] or 0
-    # A word takes six bytes or so, and about one token in 1.4 is another bigram of its chunk.
-    buckets = max(1, round(size / 6 / 1.4 / BUCKET_HASHES))
+    # A word takes six bytes or so, and about one token in 1.3 is another bigram of its chunk.
+    buckets = max(1, round(size / 6 / 1.3 / BUCKET_HASHES))
     packed = chunks(docs, id_col, text_col, folds)
     asked = packed.mapInArrow(
         lambda it: _requests(it, buckets), "bucket long, chunk string, words binary, uni binary, pairs binary, bi binary"

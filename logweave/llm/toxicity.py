@@ -116,21 +116,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     soft[:, 0] = -soft[:, 1]
     bias = np.zeros(2)
     order = rng.permutation(len(bags))
-    steps = []
-    for low in range(0, len(order), BATCH):
-        pick = order[low : low + BATCH]
-        size = np.array([len(bags[k][0]) for k in pick])
-        row = np.repeat(np.arange(len(pick), dtype=np.int32), size)
-        kinds, local = np.unique(np.concatenate([bags[k][0] for k in pick]), return_inverse=True)
-        share = np.concatenate([bags[k][1] for k in pick]).astype(np.float32)
-        steps.append((pick, row, local.astype(np.int32), share, kinds))
+    steps = [order[low : low + BATCH] for low in range(0, len(order), BATCH)]
     seen_embed, seen_soft, seen_bias = np.full(BUCKETS, CALM), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     for turn in range(PASSES):
         rate = 0.5 * (1 - turn / PASSES)
         for s in rng.permutation(len(steps)):
-            pick, row, local, share, kinds = steps[s]
-            own = embed[kinds]
-            mean = np.stack([np.bincount(row, share * own[local, d], len(pick)) for d in range(DIM)], 1)
+            # Put together anew in each pass: kept for all steps, this would be another copy of the sample.
+            pick = steps[s]
+            row = np.repeat(np.arange(len(pick)), [len(bags[k][0]) for k in pick])
+            kinds = np.concatenate([bags[k][0] for k in pick])
+            share = np.concatenate([bags[k][1] for k in pick])
+            mean = np.stack([np.bincount(row, share * embed[kinds, d], len(pick)) for d in range(DIM)], 1)
             logit = GAIN * mean @ soft + bias
             logit -= logit.max(1, keepdims=True)
             p = np.exp(logit)
@@ -138,9 +134,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             p[np.arange(len(pick)), labels[pick]] -= 1
             p *= np.where(labels[pick] == 1, MISSED, 1.0)[:, None] / len(pick)
             d_soft, d_bias, d_mean = GAIN * mean.T @ p, p.sum(0), GAIN * p @ soft.T
-            d_own = np.stack([np.bincount(local, share * d_mean[row, d], len(kinds)) for d in range(DIM)], 1)
-            seen_embed[kinds] += (d_own**2).mean(1)
-            embed[kinds] -= rate * d_own / np.sqrt(seen_embed[kinds, None])
+            d_embed = np.stack([np.bincount(kinds, share * d_mean[row, d], BUCKETS) for d in range(DIM)], 1)
+            seen_embed += (d_embed**2).mean(1)
+            embed -= rate * d_embed / np.sqrt(seen_embed[:, None])
             seen_soft += d_soft**2
             soft -= 0.2 * rate * d_soft / np.sqrt(seen_soft)
             seen_bias += d_bias**2
@@ -178,9 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(run, "id string, label int, kinds binary, shares binary")
     # Ids may repeat in the documents; the bound holds for rows too.
     table = got.orderBy("id", F.xxhash64("kinds")).limit(sum(SAMPLE.values())).toArrow()
+    # Views into the table, no copies.
     bags = [
-        (np.frombuffer(k, "<i4"), np.frombuffer(s, "<f4"))
-        for k, s in zip(table["kinds"].to_pylist(), table["shares"].to_pylist(), strict=True)
+        (np.frombuffer(k.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"))
+        for k, s in zip(table["kinds"], table["shares"], strict=True)
     ]
     filled = [k for k, b in enumerate(bags) if len(b[0])]
     return train([bags[k] for k in filled], np.array(table["label"].to_pylist(), np.int64)[filled])

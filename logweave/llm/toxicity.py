@@ -147,8 +147,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
     """Train on labelled documents outside the held-out fold (``crc_remainder`` 0).
 
-    The sample is bounded by ``SAMPLE`` documents per label, chosen by a hash of the id over all labels, so the driver gets a
-    bounded number of subword bags whatever the corpus. Null labels and texts without a word are no examples.
+    The sample is bounded by ``SAMPLE`` documents per label, chosen by a hash of the id over all labels, so the task that trains
+    gets a bounded number of subword bags whatever the corpus. Null labels and texts without a word are no examples.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL")
     known = known.filter(F.col("label").isin(0, 1) & (crc_remainder("id", folds) != 0))
@@ -173,14 +173,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.mapInArrow(run, "id string, label int, kinds binary, shares binary")
     # Ids may repeat in the documents; the bound holds for rows too.
-    table = got.orderBy("id", F.xxhash64("kinds")).limit(sum(SAMPLE.values())).toArrow()
-    # Views into the table, no copies.
-    bags = [
-        (np.frombuffer(k.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"))
-        for k, s in zip(table["kinds"], table["shares"], strict=True)
+    sample = got.orderBy("id", F.xxhash64("kinds")).limit(sum(SAMPLE.values()))
+    # One task trains on the bounded sample, so that the driver only gets the model. A lost executor repeats the task.
+    learned = sample.select("label", "kinds", "shares").mapInArrow(_train_task, "weight binary, bias double").first()
+    return Model(np.frombuffer(learned.weight, "<f8"), learned.bias) if learned else train([], [])
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (weight, bias): the model of all rows (label, kinds, shares) that have a subword; none without a row."""
+    batches = list(batches)
+    # Views into the batches, no copies.
+    rows = [
+        (label, np.frombuffer(k.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"))
+        for batch in batches
+        for label, k, s in zip(batch["label"].to_pylist(), batch["kinds"], batch["shares"], strict=True)
+        if len(k.as_buffer())
     ]
-    filled = [k for k, b in enumerate(bags) if len(b[0])]
-    return train([bags[k] for k in filled], np.array(table["label"].to_pylist(), np.int64)[filled])
+    if any(len(batch) for batch in batches):
+        model = train([(k, s) for _, k, s in rows], [label for label, _, _ in rows])
+        columns = [pa.array([model.weight.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["weight", "bias"])
 
 
 def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:

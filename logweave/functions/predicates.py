@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.fields import LEVELS, clock_text, level_rank, short_logger, short_thread
 from logweave.functions.timepattern import quote
-from logweave.session import small_side
+from logweave.session import settle, small_side
 
 # Filter columns and the value each one compares.
 FACETS = {
@@ -50,7 +50,7 @@ def semi_selection(df: DataFrame, value: Column, chosen: DataFrame) -> DataFrame
     A small selection is broadcast. Beyond that both sides are shuffled; adaptive execution splits a hot value.
     """
     name = chosen.columns[0]
-    values = chosen.distinct()
+    values = settle(chosen.distinct())
     return df.join(small_side(values) or values, value == F.col(name), "left_semi")
 
 

@@ -28,6 +28,8 @@ MEMBER_SCHEMA = T.StructType(
 )
 
 BATCH_LINES = 10_000
+# Unpacked bytes of neighbouring members that are read in one go.
+SLICE_BYTES = 64 << 20
 _UNREADABLE = (OSError, EOFError, ValueError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError)
 
 
@@ -40,33 +42,42 @@ def _text_lines(stream) -> Iterator[str]:
         yield line.removesuffix("\n")
 
 
-def _members(name: str, stream, where: str = "", only: int | None = None) -> Iterator[tuple[str, str, object]]:
+def _places(archive: zipfile.ZipFile) -> list[tuple[zipfile.ZipInfo, str]]:
+    """The files in a zip archive, each with its place: the name, and a number where the name was there before."""
+    seen: Counter[str] = Counter()
+    out = []
+    for info in archive.infolist():
+        if not info.is_dir():
+            seen[info.filename] += 1
+            again = seen[info.filename]
+            out.append((info, info.filename + (f"#{again}" if again > 1 else "")))
+    return out
+
+
+def _member(archive: zipfile.ZipFile, info: zipfile.ZipInfo, place: str) -> Iterator[tuple[str, str, object]]:
+    """What :func:`_members` gives, for one file in an archive."""
+    name = info.filename
+    if _ending(name) == "7z":
+        yield place, name, None
+    elif _ending(name) in ("zip", "gz"):
+        with archive.open(info) as stream:
+            yield from _members(name, stream, f"{place}!")
+    elif _ending(name) not in SKIPPED_ENDINGS:
+        with archive.open(info) as stream:
+            yield place, name, stream
+
+
+def _members(name: str, stream, where: str = "") -> Iterator[tuple[str, str, object]]:
     """(place, source name, byte stream) of every readable text member, depth first; no stream for an inner 7z archive.
 
-    ``place`` tells members of equal name apart, by the inner archive and, within one, by a number. ``only`` is the
-    ordinal of the one top-level member to read.
+    ``place`` tells members of equal name apart, by the inner archive and, within one, by a number.
     """
     kind = _ending(name)
     if kind == "zip":
         seekable = stream if stream.seekable() else io.BytesIO(stream.read())
         with zipfile.ZipFile(seekable) as archive:
-            seen: Counter[str] = Counter()
-            for ordinal, info in enumerate(archive.infolist()):
-                inner, again = info.filename, seen[info.filename]
-                seen[inner] += 1
-                if info.is_dir() or (only is not None and ordinal != only):
-                    continue
-                place = f"{where}{inner}" + (f"#{again + 1}" if again else "")
-                if _ending(inner) == "7z":
-                    yield place, inner, None
-                elif _ending(inner) in SKIPPED_ENDINGS and _ending(inner) not in ("zip", "gz"):
-                    continue
-                else:
-                    with archive.open(info) as member:
-                        if _ending(inner) in ("zip", "gz"):
-                            yield from _members(inner, member, f"{place}!")
-                        else:
-                            yield place, inner, member
+            for info, place in _places(archive):
+                yield from _member(archive, info, f"{where}{place}")
     elif kind == "gz":
         inner = name[:-3]
         with gzip.GzipFile(fileobj=stream) as unpacked:
@@ -79,12 +90,12 @@ def _members(name: str, stream, where: str = "", only: int | None = None) -> Ite
         yield where or name, name, stream
 
 
-def _member_lines(path: str, stream, only: int | None = None) -> Iterator[pd.DataFrame]:
-    """Line batches of one archive, or of its member ``only`` (itself an archive perhaps)."""
+def _member_lines(path: str, members: Iterator[tuple[str, str, object]]) -> Iterator[pd.DataFrame]:
+    """Line batches of members of the archive ``path``."""
     rows: list[tuple] = []
     line_id = 0
     try:
-        for place, member, text in _members(path, stream, only=only):
+        for place, member, text in members:
             if text is None:
                 rows.append((f"{path}!{place}", None, line_id, None, "7z is not supported"))
                 continue
@@ -111,57 +122,76 @@ def explode_archives(archives: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                yield from _member_lines(path, io.BytesIO(content))
+                yield from _member_lines(path, _members(path, io.BytesIO(content)))
 
     return archives.select("path", "content").mapInPandas(explode, MEMBER_SCHEMA)
 
 
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with up to ``SLICE_BYTES`` together, or one."""
+    low, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > low and total + size > SLICE_BYTES:
+            yield low, k
+            low, total = k, 0
+        total += size
+    if sizes:
+        yield low, len(sizes)
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, ordinal, reason) of the top-level members of zip files; a gzipped zip counts as one without ordinal."""
+    """Slices of the top-level members of zip files, with their unpacked bytes; a gzipped zip is one slice without range."""
     for batch in batches:
         for path in batch["path"]:
             try:
                 if _ending(path) != "zip":
-                    rows = [(path, None, None)]
+                    rows = [(path, None, None, SLICE_BYTES, None)]
                 else:
                     fs, inner = locate(path)
                     with fs.open_input_file(inner) as f, zipfile.ZipFile(f) as archive:
-                        rows = [(path, k, None) for k, i in enumerate(archive.infolist()) if not i.is_dir()]
+                        sizes = [info.file_size for info, _ in _places(archive)]
+                    rows = [(path, low, high, sum(sizes[low:high]), None) for low, high in _slices(sizes)]
             except _UNREADABLE as e:
-                rows = [(path, None, f"{type(e).__name__}: {e}")]
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "reason"]).astype({"ordinal": "Int64"})
+                rows = [(path, None, None, 0, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=["path", "low", "high", "bytes", "reason"]).astype(dict.fromkeys(("low", "high", "bytes"), "Int64"))
 
 
 def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of each slice; the archive is opened once for it, and a damaged member does not end it."""
     for batch in batches:
-        for path, ordinal in zip(batch["path"], batch["ordinal"]):
-            fs, inner = locate(path)
+        for path, low, high in zip(batch["path"], batch["low"], batch["high"]):
             try:
-                stream = fs.open_input_file(inner)
-            except OSError as e:
+                fs, inner = locate(path)
+                with fs.open_input_file(inner) as stream:
+                    if pd.isna(low):
+                        yield from _member_lines(path, _members(path, stream))
+                    else:
+                        with zipfile.ZipFile(stream) as archive:
+                            for info, place in _places(archive)[int(low) : int(high)]:
+                                yield from _member_lines(path, _member(archive, info, place))
+            except _UNREADABLE as e:
                 yield pd.DataFrame([(path, None, 0, None, f"{type(e).__name__}: {e}")], columns=MEMBER_SCHEMA.names)
-                continue
-            with stream:
-                yield from _member_lines(path, stream, only=None if pd.isna(ordinal) else int(ordinal))
 
 
 def read_archives(spark: SparkSession, paths) -> DataFrame:
     """Exploded lines of the zip files at ``paths`` (files or folders), as :func:`explode_archives` gives them.
 
-    The members are listed first and then spread over all cores, so one archive with many members is read
-    by many tasks. Files are streamed, not loaded.
+    The members are listed first and then read in slices of about ``SLICE_BYTES``, so one archive with many members is
+    read by many tasks, and there are more tasks where there is more to unpack. Files are streamed, not loaded.
     """
     cores = spark.sparkContext.defaultParallelism
     listed = list_zips(spark, paths).repartition(cores, "path").mapInPandas(
-        _entries, "path string, ordinal long, reason string"
+        _entries, "path string, low long, high long, bytes long, reason string"
     )
     listed = settle(listed)
     damaged = listed.filter(F.col("reason").isNotNull()).select(
         F.col("path").alias("archive"), F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("line_id"),
         F.lit(None).cast("string").alias("value"), "reason",
     )
-    readable = listed.filter(F.col("reason").isNull()).repartition(cores, "path", "ordinal")
-    return readable.select("path", "ordinal").mapInPandas(_read_entries, MEMBER_SCHEMA).unionByName(damaged)
+    total = listed.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(cores, -(-total // SLICE_BYTES))
+    readable = listed.filter(F.col("reason").isNull()).select("path", "low", "high").repartition(parts, "path", "low")
+    return readable.mapInPandas(_read_entries, MEMBER_SCHEMA).unionByName(damaged)
 
 
 def archive_lines(exploded: DataFrame) -> DataFrame:

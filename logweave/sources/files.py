@@ -130,7 +130,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     plain files are split over many tasks, a gzip file is read by one.
     """
     files, folders = split_paths(spark, paths)
-    scans = _scan(spark, "text", files, folders, _TEXT_GLOB)
+    # Archives are left out by name, so Spark drops them from the listing and never opens them as text.
+    text = ~F.col("_metadata.file_name").rlike(r"(?i)\.(?:zip(?:\.gz)?|7z)\z")
+    scans = [s.filter(text) for s in _scan(spark, "text", files, folders, _TEXT_GLOB)]
     if not scans:
         schema = "source_path string, source string, block_start bigint, line_id bigint, value string, base_date date"
         return spark.createDataFrame([], schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.session import scratch_path
@@ -18,19 +21,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row per key and in ``weight`` the key's number of rows.
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: int = 1000, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``table``, which has one row per key and in ``weight`` the key's number of rows.
 
     Keys holding more than 1/``share`` of all rows are fewer than ``share`` by counting, so they may be broadcast
     at any input size; no task then gathers their rows. All other keys meet in an ordinary shuffle join. Both
-    inputs are read twice: pass stored tables. Keys must not be null.
+    inputs are read twice: pass stored tables. Keys must not be null; a left join keeps rows of keys that the table lacks.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * share > F.lit(total)
     hot_table = F.broadcast(table.filter(hot))
     met = rows.join(hot_table, keys)
     rest = rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
-    return met.unionByName(rest.join(table.filter(~hot), keys).select(*met.columns))
+    return met.unionByName(rest.join(table.filter(~hot), keys, how).select(*met.columns))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -50,3 +53,21 @@ def crc_remainder(id_col: str | Column, modulus: int) -> Column:
     """CRC-32 of the id as text, modulo ``modulus``; 0 for a null id, which is therefore never learned from."""
     key = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
     return F.coalesce(F.crc32(key.cast("binary")) % modulus, F.lit(0))
+
+
+@contextmanager
+def handed_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand at most ``rows`` rows at once to a Python worker, which bounds its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, as a URI."""
+    path = scratch_path(spark, name)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"

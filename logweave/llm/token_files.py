@@ -10,16 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import stored
-from logweave.llm.words import SPACE, slices, text_bytes
-from logweave.session import scratch_path
+from logweave.llm.common import handed_in_batches, shared_uri, stored
+from logweave.llm.words import slices, text_bytes
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -28,15 +28,50 @@ WITH_CHECKSUMS = 0x80
 # A file is closed at this size; the index of its documents is its last frame before the seek table.
 FILE_BYTES = 32 << 20
 FILE_DOCS = 1 << 18
-# Words whose ids a worker remembers, and bytes of text encoded at once.
+# What a worker remembers at most: words with their ids, and bytes of such words. Bytes of text encoded at once, words encoded
+# in a row, and rows that are handed to a worker at once.
 REMEMBERED = 400_000
-ENCODE_BYTES = 4 << 20
-TOGETHER = 2000
-
-
-# Bytes that a text may be cut beside: ASCII that is no white space; after the blank also the lead byte of a letter.
-PLAIN = ~SPACE & (np.arange(256) < 128) & ~((np.arange(256) >= 28) & (np.arange(256) < 32))
-AFTER = PLAIN | (np.arange(256) == 0xC3)
+REMEMBERED_BYTES = 16 << 20
+ENCODE_BYTES = 1 << 20
+TOGETHER = 64
+HANDED = 500
+
+# Kinds of bytes: 0 unknown or white space, 1 letter, 2 digit, 3 other ASCII signs, 4 apostrophe.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 4
+# Second bytes after 0xC3 that make a letter.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places where a byte-level tokenizer always starts a new piece, whatever stands around: a blank between two
+    characters that are no white space, both sides of such a line feed, and changes between letters, digits and signs
+    other than the apostrophe. Only ASCII and letters led by 0xC3 count as known characters."""
+    cut = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return cut
+    begin, end = _KIND[data], _KIND[data]
+    latin = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    begin[:-1][latin] = 1
+    end[1:][latin] = 1
+    left, right = end[:-1], begin[1:]
+    cut[1:] = (left != right) & (left > 0) & (right > 0) & (left < 4) & (right < 4)
+    lone = (left[:-1] > 0) & (right[1:] > 0)
+    cut[1:-1] |= lone & (data[1:-1] == 32)
+    line = lone & (data[1:-1] == 10)
+    cut[1:-1] |= line
+    cut[2:] |= line
+    return cut
+
+
+def _in_a_row(word: bytes) -> bool:
+    """Words that begin with a blank before a known character and end in ASCII keep their borders when put in a row."""
+    return len(word) > 1 and word[0] == 32 and _KIND[word[-1]] > 0 and (_KIND[word[1]] > 0 or (word[1] == 0xC3 and _LATIN[word[2]]))
 
 
 class SeekableWriter:
@@ -119,10 +154,9 @@ def _tokenizer(path: str):
 class Encoder:
     """Token ids of whole texts by a byte-level BPE tokenizer, each distinct word encoded once.
 
-    Such a tokenizer starts a new piece at a single blank between two characters that are no white space, and pieces do not
-    influence each other; so a text may be cut there and its ids are those of the cuts in a row. Bytes beside the
-    blank count as no white space if they are ASCII or a letter led by 0xC3; other blanks are not cut at. Texts
-    with the string of an added token are encoded whole.
+    Pieces of such a tokenizer do not influence each other, so a text may be cut where a piece starts whatever stands
+    around (:func:`cuts`) and its ids are those of the cuts in a row. Texts with the string of an added token are
+    encoded whole. What is remembered is bounded in words and bytes.
     """
 
     def __init__(self, path: str):
@@ -137,6 +171,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
         # All ids of the known words in a row, and where each word's end (and the first one begins).
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -144,25 +179,36 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _places(self, words: list[bytes]) -> np.ndarray:
-        """Number of each word among the known ones; unknown ones are encoded."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            # Words that begin and end as at a cut may stand in a row; the ids' byte lengths then tell which are whose.
-            inner = [w for w in new if w[0] == 32 and len(w) > 1 and AFTER[w[1]] and (PLAIN[w[-1]] or w[-2] == 0xC3)]
-            outer = list(set(new).difference(inner))
-            new, at = inner + outer, len(self.known)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-            texts = [b"".join(inner[k : k + TOGETHER]).decode() for k in range(0, len(inner), TOGETHER)]
-            texts += [w.decode() for w in outer]
-            ids = np.concatenate([np.array(i, np.uint32) for i in self._encode(texts)])
-            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
-            stop = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            self.ends = np.concatenate([self.ends, self.ends[-1] + stop])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        """Number of each word among the known ones; unknown ones are encoded. ``words`` are distinct."""
+        found = list(map(self.known.get, words))
+        new = [w for w, k in zip(words, found, strict=True) if k is None]
+        if not new:
+            return np.array(found, np.int64)
+        # The byte lengths of the ids tell which are whose when words stand in a row.
+        inner = [w for w in new if _in_a_row(w)]
+        ordered = inner + [w for w in new if not _in_a_row(w)]
+        at = len(self.known)
+        self.known.update(zip(ordered, range(at, at + len(ordered)), strict=True))
+        texts = [b"".join(inner[k : k + TOGETHER]).decode() for k in range(0, len(inner), TOGETHER)]
+        texts += [w.decode() for w in ordered[len(inner) :]]
+        ids = [np.fromiter(i, np.uint32, len(i)) for k in range(0, len(texts), 256) for i in self._encode(texts[k : k + 256])]
+        ids = np.concatenate(ids)
+        ends = np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
+        self.known_bytes += int(ends[-1])
+        stop = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        self.ends = np.concatenate([self.ends, self.ends[-1] + stop])
+        self.flat = np.concatenate([self.flat, ids])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each text in turn; nulls are empty texts."""
+        """Ids of each text in turn; nulls are empty texts. A text that repeats the one before it is not encoded again."""
+        runs = pc.run_end_encode(column.cast(pa.string()))
+        ends = np.asarray(runs.run_ends).astype(np.int64)
+        for ids, n in zip(self._distinct(runs.values), np.diff(ends, prepend=0).tolist(), strict=True):
+            for _ in range(n):
+                yield ids
+
+    def _distinct(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = text_bytes(column)
         for i, j in slices(offsets, ENCODE_BYTES):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -180,17 +226,13 @@ class Encoder:
             yield from self._slice(part, at, whole)
 
     def _slice(self, part: np.ndarray, at: np.ndarray, whole: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
-        before = PLAIN[part]
-        before[1:] |= part[:-1] == 0xC3
-        cut = np.zeros(len(part), bool)
-        cut[1:-1] = (part[1:-1] == 32) & before[:-2] & AFTER[part[2:]]
+        cut = cuts(part)
         cut[at[:-1][at[:-1] < len(part)]] = True
         begin = np.flatnonzero(cut)
-        ends = np.append(begin[1:], len(part))
         words = pa.Array.from_buffers(
-            pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, ends[-1:]).astype(np.int64)), pa.py_buffer(part)]
+            pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(part)).astype(np.int64)), pa.py_buffer(part)]
         ).dictionary_encode()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
             self._forget()
         place = self._places(words.dictionary.to_pylist())[np.asarray(words.indices)]
         start = self.ends[place]
@@ -211,7 +253,8 @@ def write_token_files(
     sorted documents into files of bounded size. A file is written under another name and renamed, and its content
     depends on the data only, so a repeated task does no harm. ``folder`` is a URI that pyarrow.fs opens on every
     executor. Null ids come first, null texts are empty; rows with equal ids stand in the order of their texts'
-    hashes, so many of them still spread over files.
+    hashes, so many of them still spread over files, and equal texts of one id are encoded once. Ids are cast to
+    long: an id that is no whole number becomes null, or stops the job in ANSI mode.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
@@ -250,7 +293,8 @@ def write_token_files(
         kinds = [pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return stored(rows.mapInArrow(run, "file string, part long, piece long, n_docs long, n_tokens long"), "token-manifest")
+    with handed_in_batches(docs.sparkSession, HANDED):
+        return stored(rows.mapInArrow(run, "file string, part long, piece long, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -289,11 +333,5 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
 
     One row per row of ``docs``; an empty table writes no file and gives no rows; other columns are not read.
     """
-    folder = folder or shared_uri(docs.sparkSession)
+    folder = folder or shared_uri(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer, folder, end_id), folder)
-
-
-def shared_uri(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, as a URI."""
-    path = scratch_path(spark, "tokens")
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logweave.llm.decontaminate import leaks
 from logweave.llm.exact_dedup import exact_groups
+from logweave.llm.fill_in_middle import fill_in_middle, restored
+from logweave.llm.hard_negatives import hard_negatives
 from logweave.llm.language_id import identify
 from logweave.llm.lm_score import score_texts
 from logweave.llm.mixing import mix_sources
@@ -16,6 +18,7 @@ from logweave.llm.simhash import simhash_groups
 from logweave.llm.substring import remove_repeats
 from logweave.llm.token_files import token_output
 from logweave.llm.toxicity import score_documents
+from logweave.llm.warc import archive_pages
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -140,3 +143,83 @@ FROM o""",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, seed=7)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90, 100))
+
+
+@query(
+    "op12_warc",
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id,
+         sha1(coalesce(html, '')) AS hex
+  FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(hex, (k // 8 * 10 + 1)::INT, 10))::UBIGINT >> (35 - k % 8 * 5)::UBIGINT) & 31) + 1)::INT, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op13_fill_in_middle",
+    """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         list_transform(range(4), lambda k: ('0x' || substr(sha256('1:' || doc_id), (8 * k + 1)::INT, 8))::UBIGINT::BIGINT) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+         greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90
+              THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+s AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+         array_to_string(units[b + 1:], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed="1", rate=90, spm_rate=20)
+    sha = {"output_sha256": F.col("fim.output"), "restored_sha256": restored(F.col("fim.output"), F.col("fim.form"))}
+    return made.select(
+        "doc_id",
+        *[F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        *[F.sha2(text.cast("binary"), 256).alias(name) for name, text in sha.items()],
+    )

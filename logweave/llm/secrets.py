@@ -138,18 +138,19 @@ def find_secrets(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     example_owners: int = 3,
+    example_repos: int = 100,
 ) -> DataFrame:
     """Spans of each row of ``docs``: id and spans, an array of (start, kind, end, hash, owners, repositories, live).
 
-    A value that ``example_owners`` or more owners hold is a copied example, any other is a live-looking credential of
-    its owner. Base kinds are always reported; added high-entropy tokens only while they are live. Offsets are code
+    A value that ``example_owners`` or more owners or ``example_repos`` or more repositories hold is a copied example, any
+    other is a live-looking credential of its owner. Base kinds are always reported; added high-entropy tokens only while they are live. Offsets are code
     points, the end exclusive. Null and empty texts have no spans; repeated rows are rows of their own; an empty table
     gives no rows; other columns are not read.
     """
     rows = stored(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-candidates")
     spans = stored(rows.select("tag", "owner", "repo", F.explode("spans").alias("span")).select("*", "span.hash"), "secret-spans")
     held = stored(ownership(spans), "secret-owners")
-    live = F.col("owners") < example_owners
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repos)
     judged = join_hot(spans, held, ["hash"], "n").filter(live | (F.col("span.kind") < KINDS.index("token")))
     entry = F.struct("span.start", "span.kind", "span.end", "hash", "owners", "repositories", live.alias("live"))
     per_row = judged.groupBy("tag").agg(F.array_sort(F.collect_list(entry)).alias("found"))

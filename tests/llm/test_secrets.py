@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from logweave.llm.queries import QUERIES
+from logweave.llm.secrets import find_secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TOKEN = "ghpX9aB3kL0mQ7rT2vW5yZ8cD1"
@@ -55,3 +56,21 @@ def test_base_spans_and_owners(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
+
+
+def test_border_of_owners_and_repositories(spark):
+    """Two of three owners or three of four repositories are live, one more of either makes an example."""
+
+    def rows(value, pairs):
+        return [(k, f"key {value} end", o, r, "x", 0) for k, (o, r) in enumerate(pairs)]
+
+    held = {
+        "Aa1Bb2Cc3Dd4Ee5Ff6Gg7": [("o1", "r1"), ("o2", "r2"), ("o1", "r3"), ("o1", "r3")],
+        "Hh1Ii2Jj3Kk4Ll5Mm6Nn7": [("o1", "r1"), ("o2", "r2"), (None, "r2")],
+        "Oo1Pp2Qq3Rr4Ss5Tt6Uu7": [("o1", "r1"), ("o1", "r2"), ("o1", "r3"), ("o1", None)],
+    }
+    docs = [r for value, pairs in held.items() for r in rows(value, pairs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, owner string, repo string, spans string, tag int").repartition(3)
+    got = find_secrets(df, owner_col="owner", repo_col="repo", example_owners=3, example_repos=4).collect()
+    assert sorted(len(r.spans) for r in got) == [0] * 7 + [1] * 4
+    assert all(s.owners == 2 and s.repositories == 3 and s.live for r in got for s in r.spans)

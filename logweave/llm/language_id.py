@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import crc_remainder
+from logweave.llm.common import crc_remainder, fresh
 from logweave.llm.words import Rolling, slices, text_bytes
 
 ORDER = 4
@@ -245,12 +245,14 @@ def sample(docs: DataFrame, folds: int) -> DataFrame:
     """At most SAMPLE_PER_LANGUAGE documents per language outside the held-out fold: id, lang, place.
 
     A hash of the id first thins each language to a few times that number, so the ranking never gathers a whole language.
+    An id counts once, however many rows have it; if they differ in language, the first in order counts.
     """
     known = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("id IS NOT NULL AND lang IS NOT NULL").filter(crc_remainder("id", folds) != 0)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     few = known.join(F.broadcast(sizes), "lang").filter(chance * F.col("n") < 3.0 * SAMPLE_PER_LANGUAGE)
+    few = few.groupBy("id").agg(F.min("lang").alias("lang"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(chance, "id"))
     return few.select("id", "lang", place.alias("place")).filter(F.col("place") <= SAMPLE_PER_LANGUAGE)
 
@@ -259,6 +261,8 @@ def fit(docs: DataFrame, folds: int = 5) -> Model:
     """Train on a bounded sample of labelled documents; a part of it sets temperature and rejection limits."""
     chosen = sample(docs, folds).withColumn("calibrate", F.col("place") % CALIBRATE == 0).drop("place")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # One text per id: the first in order of those that rows of this id have.
+    rows = rows.groupBy("id", "lang", "calibrate").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +313,10 @@ def calibrate(model: Model, langs: list[str], entropy: np.ndarray) -> Model:
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``language``: a struct of lang, score and rejected for the whole text."""
+    """``docs`` with a column ``language``: a struct of lang, score and rejected for the whole text.
+
+    An existing column of that name stays, the new one is then called ``language_``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang string, score double, rejected boolean")
@@ -319,7 +326,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(refused, pa.bool_())]
             yield pa.StructArray.from_arrays(columns, ["lang", "score", "rejected"])
 
-    return docs.withColumn("language", identified(F.col(text_col).cast("string")))
+    return docs.withColumn(fresh("language", docs.columns), identified(F.col(text_col).cast("string")))
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

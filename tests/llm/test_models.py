@@ -49,6 +49,25 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_an_id_counts_once_in_training(spark):
+    docs = [(1, "same text", "en"), *[(2, f"text {'abc'[k % 3]}", "de") for k in range(30)], (3, None, "en")]
+    df = spark.createDataFrame([d for d in docs if not held(d[0])], "doc_id long, text string, lang string")
+    chosen = language_id.sample(df, 5).collect()
+    assert sorted(r.id for r in chosen) == sorted({d[0] for d in docs if not held(d[0])})
+    once = df.groupBy("doc_id", "lang").agg({"text": "min"}).toDF("doc_id", "lang", "text")
+    one, two = language_id.fit(df, 5), language_id.fit(once, 5)
+    assert one.languages == two.languages
+    texts = pa.array(["text a", "some text", "zzz"])
+    assert np.array_equal(one.entropies(texts)[0], two.entropies(texts)[0])
+
+
+def test_language_column_of_the_input_stays(spark):
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet").limit(50), 5)
+    df = spark.createDataFrame([("some words", "kept")], "text string, Language string")
+    row = language_id.with_language(df, model).first()
+    assert row.Language == "kept" and row.language_.lang in model.languages
+
+
 def test_toxicity_of_held_out_documents(spark):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = rows(spark, SF, "op1_toxicity")

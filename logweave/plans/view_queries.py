@@ -477,7 +477,7 @@ def i03(spark, sf_dir):
 # --- live events -----------------------------------------------------------------------------------------
 
 
-def _xml_lines(spark, sf_dir):
+def xml_lines(spark, sf_dir):
     """Every event as five XML lines on the connection of its user."""
     open_tag = F.concat(
         F.lit('<log4j:event logger="'), "log", F.lit('" timestamp="'), _millis("ts").cast("string"), F.lit('" level="'),
@@ -508,7 +508,7 @@ _FRAMES_SQL = f"WITH {EVENTS}, {_XML} SELECT '10.0.0.9:' || user_id AS remote, x
 
 @query("j01_xml_frames", _FRAMES_SQL)
 def j01(spark, sf_dir):
-    return live_events.frame_xml(_xml_lines(spark, sf_dir), chunk_bits=20).select("remote", "xml")
+    return live_events.frame_xml(xml_lines(spark, sf_dir), chunk_bits=20).select("remote", "xml")
 
 
 @query(
@@ -518,7 +518,7 @@ def j01(spark, sf_dir):
         'RemoteApp' AS source, xml AS raw FROM xm""",
 )
 def j02(spark, sf_dir):
-    frames = live_events.frame_xml(_xml_lines(spark, sf_dir), chunk_bits=20)
+    frames = live_events.frame_xml(xml_lines(spark, sf_dir), chunk_bits=20)
     return as_entries(live_events.read_xml(frames))
 
 
@@ -572,7 +572,7 @@ def j04(spark, sf_dir):
     return sessions.route_batch(events, chunk_bits=2).select("remote", "seq", "view")
 
 
-def _drain(stream, name):
+def drain(stream, name):
     """Run a stream over everything that is there and return its output table."""
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-offsets")
@@ -588,7 +588,7 @@ def _stream(spark, sf_dir, name):
 @query("j04_sticky_sessions_stream", _SESSIONS)
 def j04_stream(spark, sf_dir):
     live.use_rocksdb(spark)
-    return _drain(live.route_stream(_session_events(_stream(spark, sf_dir, "conversations"))), "j04")
+    return drain(live.route_stream(_session_events(_stream(spark, sf_dir, "conversations"))), "j04")
 
 
 _CONV_XML = """'<log4j:event logger="' || role || '" timestamp="' || turn || '" level="INFO" thread="t">' || chr(10)
@@ -607,7 +607,7 @@ def j01_stream(spark, sf_dir):
     )
     seq = F.shiftleft(F.col("turn").cast("long"), r.ENTRY_BITS) + F.col("pos")
     lines = lines.select("remote", seq.alias("seq"), "line", F.lit("event").alias("event_kind"))
-    return _drain(live.frame_xml_stream(lines), "j01").select("remote", "xml")
+    return drain(live.frame_xml_stream(lines), "j01").select("remote", "xml")
 
 
 @query(
@@ -624,7 +624,7 @@ def j05(spark, sf_dir):
     )
     text = F.concat("stamp", F.lit(" ["), "thr", F.lit("] "), "lvl", F.lit(" "), "log", F.lit(" - "), "msg")
     entries = read_fields(lines.select(text.alias("value")), Layout(DEFAULT.layout)).select("fields.*")
-    return _drain(entries, "j05").select("timestamp", "level", "thread", "logger", "message")
+    return drain(entries, "j05").select("timestamp", "level", "thread", "logger", "message")
 
 
 # --- export ----------------------------------------------------------------------------------------------

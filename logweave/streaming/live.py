@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logweave.functions.fields import view_title
-from logweave.functions.predicates import FACETS
 from logweave.schema import DISCONNECT, REMOTE_APP
 from logweave.streaming.events import XML_END
 
@@ -32,10 +31,13 @@ def use_rocksdb(spark) -> None:
 
 
 class _Framing(StatefulProcessor):
-    """Keeps the unfinished lines of one connection until an end tag arrives."""
+    """Keeps the unfinished lines of one connection until an end tag arrives, or for the time to live."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getListState("open", "line string")
+        self._open = handle.getListState("open", "line string", self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("seq", kind="stable")
@@ -63,26 +65,30 @@ class _Framing(StatefulProcessor):
         pass
 
 
-def frame_xml_stream(lines: DataFrame) -> DataFrame:
+def frame_xml_stream(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming twin of :func:`logweave.streaming.events.frame_xml`: (remote, seq, xml).
 
     ``lines`` has remote, seq, line and event_kind; a disconnect drops the unfinished lines. The order of a
     connection is that of ``seq``, within a micro-batch and from one to the next. Bound the micro-batch at
     the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): the lines of one connection in one
-    micro-batch are framed together.
+    micro-batch are framed together. Unfinished lines of a connection that is silent for ``ttl_ms`` are dropped;
+    such a query goes on checking by the clock and is never done with ``availableNow``.
     """
     return (
         lines.select("remote", "seq", "line", "event_kind")
         .groupBy("remote")
-        .transformWithStateInPandas(_Framing(), FRAME_SCHEMA, "Append", "None")
+        .transformWithStateInPandas(_Framing(ttl_ms), FRAME_SCHEMA, "Append", "ProcessingTime" if ttl_ms else "None")
     )
 
 
 class _Routing(StatefulProcessor):
-    """Remembers the view of a connection from its first event until it disconnects."""
+    """Remembers the view of a connection from its first event until it disconnects, or for the time to live."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._view = handle.getValueState("view", "app string, ip string, port int")
+        self._view = handle.getValueState("view", "app string, ip string, port int", self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq", kind="stable")
@@ -93,7 +99,8 @@ class _Routing(StatefulProcessor):
                 view = None
                 continue
             if view is None:
-                view = (row.source, row.ip, int(row.port) if row.source == REMOTE_APP else -1)
+                port = None if pd.isna(row.port) else int(row.port)
+                view = (row.source, row.ip, port if row.source == REMOTE_APP else -1)
             out.append((key[0], row.seq, *view))
         if view is None:
             self._view.clear()
@@ -116,30 +123,20 @@ ROUTE_SCHEMA = T.StructType(
 )
 
 
-def route_stream(events: DataFrame) -> DataFrame:
+def route_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming twin of :func:`logweave.streaming.sessions.route_batch`: (remote, seq, view) per event.
 
-    Only the routing columns pass through the Python workers.
+    Only the routing columns pass through the Python workers. A connection that is silent for ``ttl_ms`` is forgotten,
+    its next event opens a view anew.
     """
     routed = (
         events.select("remote", "seq", "event_kind", "source", "ip", "port")
         .groupBy("remote")
-        .transformWithStateInPandas(_Routing(), ROUTE_SCHEMA, "Append", "None")
+        .transformWithStateInPandas(_Routing(ttl_ms), ROUTE_SCHEMA, "Append", "ProcessingTime" if ttl_ms else "None")
     )
     return routed.select("remote", "seq", view_title("app", "ip", "view_port").alias("view"))
 
 
-def running_facets(entries: DataFrame) -> DataFrame:
-    """Counts per facet value, for output mode ``update``; counted per partition before the shuffle."""
-    rows = [F.struct(F.lit(f).alias("facet"), v().alias("value")) for f, v in FACETS.items()]
-    return (
-        entries.select(F.inline(F.array(*rows)))
-        .filter(F.col("value") != "")
-        .groupBy("facet", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def append_to(entries: DataFrame, path: str, checkpoint: str, available_now: bool = False):
     """Append a stream of entries to a Parquet folder in arrival order; returns the running query."""
     writer = entries.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.fields import view_title
@@ -30,3 +30,28 @@ def route_batch(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     opened = settle(live.groupBy("remote", "session").agg(F.min_by(view_key(), "seq").alias("key")))
     routed = attach(live, opened, ["remote", "session"], "left")
     return routed.withColumn("view", view_title(F.col("key.app"), F.col("key.ip"), F.col("key.port"))).drop("key", "session")
+
+
+def route_with_idle(events: DataFrame, idle_seconds: int, time_col: str = "ts") -> DataFrame:
+    """Like :func:`route_batch`, in the order of (time, seq), and a silence of more than ``idle_seconds`` ends a session too.
+
+    An event before a silence lies in the same stretch of ``idle_seconds`` or in the one before, so only neighbouring stretches
+    of a connection are compared, never a connection as a whole. Events without a time are left out.
+    """
+    events = events.filter(F.col(time_col).isNotNull())
+    micros = F.unix_micros(F.col(time_col))
+    idle = idle_seconds * 1_000_000
+    placed = events.withColumns({"_at": micros, "_stretch": F.floor(micros / F.lit(idle))})
+    last = placed.groupBy("remote", "_stretch").agg(F.max("_at").alias("_last"))
+    last = last.select("remote", (F.col("_stretch") + 1).alias("_stretch"), "_last")
+    inside = Window.partitionBy("remote", "_stretch").orderBy("_at", "seq")
+    placed = placed.withColumn("_before", F.lag("_at").over(inside)).join(last, ["remote", "_stretch"], "left")
+    gap = F.col("_at") - F.coalesce("_before", "_last")
+    position = F.struct(F.col("_at").alias("at"), F.col("seq").alias("seq"))
+    new = gap.isNull() | (gap > idle) | (F.col("event_kind") == DISCONNECT)
+    marked = carry_forward(placed, ["remote"], F.col("_stretch"), ["_at", "seq"], F.when(new, position), "session")
+    live = marked.filter(F.col("event_kind") != DISCONNECT)
+    opened = settle(live.groupBy("remote", "session").agg(F.min_by(view_key(), position).alias("key")))
+    routed = attach(live, opened, ["remote", "session"], "left")
+    routed = routed.withColumn("view", view_title(F.col("key.app"), F.col("key.ip"), F.col("key.port")))
+    return routed.drop("key", "session", "_at", "_stretch", "_before", "_last")

@@ -1,15 +1,16 @@
 """Live events: batch forms, stream twins and session routing."""
 
+import datetime
 import json
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.schema import as_entries
-from logweave.streaming import live
+from logweave.schema import DISCONNECT, as_entries
+from logweave.streaming import live, ordered, tables
 from logweave.streaming.events import frame_xml, read_structured, read_xml
-from logweave.streaming.sessions import route_batch
+from logweave.streaming.sessions import route_batch, route_with_idle
 
 EVENTS = "remote string, seq long, event_kind string, source string, ip string, port int"
 SESSIONS = [
@@ -116,11 +117,139 @@ def test_running_facets(spark):
     schema = "level string, thread string, logger string, ip string, message string, source string"
     folder = tempfile.mkdtemp(prefix="logweave-facets-")
     for i in (0, 2):
-        spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").json(folder)
-    stream = live.running_facets(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder))
-    q = stream.writeStream.format("memory").queryName("facets_now").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("facets_now").groupBy("facet", "value").agg(F.max("n").alias("n")).collect()
-    assert {(r.facet, r.value, r.n) for r in got} == {
+        spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    tables.follow_facets(stream, f"{folder}/table", f"{folder}/offsets", available_now=True).awaitTermination()
+    got = tables.facets_table(spark, f"{folder}/table").current().collect()
+    assert {tuple(r) for r in got} == {
         ("level", "INFO", 3), ("level", "WARN", 1), ("thread", "t1", 3), ("thread", "t2", 1), ("logger", "L", 4), ("ip", "ip", 3), ("source", "s", 4),
-    }
+    }
+    assert len(got) == 7
+
+
+def test_table_of_newest_rows(spark, tmp_path, monkeypatch):
+    """Whole versions, repeated batches and keys that lose rows."""
+    monkeypatch.setattr(tables, "FOLD", 2)
+    table = tables.LatestTable(spark, str(tmp_path / "t"), ["k"], "k string, v int")
+    assert table.current().count() == 0
+
+    def put(version, rows):
+        table.replace(spark.createDataFrame(rows, "k string, v int"), version)
+        return sorted(tuple(r) for r in table.current().collect())
+
+    assert put(0, [("a", 1), ("a", 2), ("b", 3)]) == [("a", 1), ("a", 2), ("b", 3)]
+    assert put(1, [("a", 5)]) == [("a", 5), ("b", 3)]
+    assert put(2, [("c", 7)]) == [("a", 5), ("b", 3), ("c", 7)]
+    assert put(2, [("c", 8)]) == [("a", 5), ("b", 3), ("c", 8)]
+    assert put(3, []) == [("a", 5), ("b", 3), ("c", 8)]
+    assert put(4, [("b", 0)]) == [("a", 5), ("b", 0), ("c", 8)]
+
+
+def test_followed_tail(spark, tmp_path):
+    rows = [("v" if i % 3 else "w", (i * 37) % 101) for i in range(60)]
+    for i in range(0, 60, 20):
+        spark.createDataFrame(rows[i : i + 20], "view string, at int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("view string, at int").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    tables.follow_tail(stream, 4, ["at"], f"{tmp_path}/t", f"{tmp_path}/o", available_now=True).awaitTermination()
+    got = sorted(tuple(r) for r in tables.tail_table(stream, f"{tmp_path}/t").current().collect())
+    assert got == sorted((v, a) for w in "vw" for v, a in sorted((r for r in rows if r[0] == w), key=lambda r: r[1])[-4:])
+    assert spark.read.parquet(f"{tmp_path}/t").groupBy("version", "view").count().agg(F.max("count")).first()[0] == 4
+
+
+IDLE_EVENTS = "remote string, seq long, event_kind string, source string, ip string, port int, ts timestamp"
+
+
+def at(second):
+    return datetime.datetime.fromtimestamp(1_700_000_000 + second)
+
+
+def idle_rows():
+    """Connections with gaps, a disconnect and times that repeat, as (arrival, row)."""
+    rows = []
+    for k, remote in enumerate(("p", "q", "r")):
+        second = 0
+        for seq in range(30):
+            second += [5, 0, 40, 61, 60, 200][(seq * 7 + k) % 6]
+            gone = seq % 11 == 7
+            kind, source = (DISCONNECT, None) if gone else ("event", "RemoteApp" if seq % 4 == 0 else f"app{seq}")
+            row = (remote, seq, kind, source, None if gone else "ip", None if gone or seq % 4 else 9000 + k, at(second))
+            rows.append((second + (seq * 13) % 29, row))
+    return rows
+
+
+def plain_routes(rows, idle):
+    out = []
+    for remote in sorted({x[0] for x in rows}):
+        view = last = None
+        for x in sorted((x for x in rows if x[0] == remote), key=lambda x: (x[6], x[1])):
+            if last is not None and (x[6] - last).total_seconds() > idle:
+                view = None
+            last = x[6]
+            if x[2] == DISCONNECT:
+                view = None
+                continue
+            view = view or (f"Remote({x[4]}:{x[5]})" if x[3] == "RemoteApp" else f"{x[3]} ({x[4]})")
+            out.append((remote, x[1], view))
+    return out
+
+
+def test_silence_ends_a_session(spark):
+    rows = [x for _, x in idle_rows()]
+    got = route_with_idle(spark.createDataFrame(rows, IDLE_EVENTS).repartition(3), 60)
+    assert sorted(tuple(x) for x in got.select("remote", "seq", "view").collect()) == plain_routes(rows, 60)
+
+
+def test_late_events_stand_in_their_place_and_state_ends(spark, tmp_path):
+    """Events that are out of order over several micro-batches, then one that comes too late."""
+    live.use_rocksdb(spark)
+    dealt = sorted(idle_rows())
+    end = [("end", 0, DISCONNECT, None, None, None, at(100_000))]
+    late = [("p", 99, "event", "too late", "ip", 1, at(3))]
+    batches = [[x for _, x in dealt[k : k + 15]] for k in range(0, len(dealt), 15)] + [end, late]
+    for rows in batches:
+        spark.createDataFrame(rows, IDLE_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(IDLE_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ordered.route_in_order(stream, idle_seconds=60, delay_seconds=30)
+    run_ = live.append_to(out, f"{tmp_path}/out", f"{tmp_path}/offsets", available_now=True)
+    run_.awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted(tuple(x) for x in got) == plain_routes([x for _, x in dealt], 60)
+    # All three connections have fallen silent: what is left in state belongs to the last row alone.
+    state = spark.read.format("statestore").option("stateVarName", "view").load(f"{tmp_path}/offsets")
+    assert state.count() == 0
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/offsets")
+    assert {x.key.remote for x in waiting.select("key").collect()} <= {"end"}
+
+
+def test_frames_of_lines_out_of_order(spark, tmp_path):
+    live.use_rocksdb(spark)
+    lines = [(r, seq, line, kind, at(seq // 2)) for r, seq, line, kind in XML_ROWS]
+    schema = f"{XML_SCHEMA}, ts timestamp"
+    dealt = sorted(lines, key=lambda x: (x[1] * 7) % 12)
+    for k in (0, 6, 12):
+        spark.createDataFrame(dealt[k : k + 6] if k < 12 else dealt[12:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("end", 0, "", DISCONNECT, at(9000))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ordered.frame_in_order(stream, idle_seconds=600, delay_seconds=100)
+    live.append_to(out, f"{tmp_path}/out", f"{tmp_path}/offsets", available_now=True).awaitTermination()
+    got = {tuple(x) for x in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    assert got == {tuple(x) for x in frame_xml(spark.createDataFrame(XML_ROWS, XML_SCHEMA)).collect()}
+
+
+def test_state_has_a_time_to_live(spark, tmp_path):
+    """A connection that was silent for the time to live is forgotten: its next event opens a view anew."""
+    live.use_rocksdb(spark)
+    rows = [("c", 0, "event", "first", "ip", 1), ("c", 1, "event", "second", "ip", 1), ("c", 2, "event", "third", "ip", 1)]
+
+    def views(ttl, name):
+        folder = f"{tmp_path}/{name}"
+        for k in (0, 1):
+            part = rows[:2] if k == 0 else rows[2:]
+            spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(f"{folder}/in")
+            out = live.route_stream(spark.readStream.schema(EVENTS).json(f"{folder}/in"), ttl_ms=ttl)
+            writer = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets")
+            assert writer.trigger(once=True).start(f"{folder}/out").awaitTermination(60)
+        return sorted(tuple(x)[1:] for x in spark.read.parquet(f"{folder}/out").collect())
+
+    assert views(1, "short") == [(0, "first (ip)"), (1, "first (ip)"), (2, "third (ip)")]
+    assert views(3_600_000, "long") == [(k, "first (ip)") for k in range(3)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.plans import rendering as r
 from logweave.plans.load import load_logs
-from logweave.plans.queries import EVENTS, query
+from logweave.plans.queries import EVENTS, LINES, query
 from logweave.session import scratch_path
 from logweave.sources.files import locate
 
@@ -106,3 +106,45 @@ def load_rejects(spark, sf_dir):
     rejects = load_logs(spark, folder).rejects
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     return rejects.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"), "reason")
+
+
+def _members(text: str) -> list[bytes]:
+    """The text in gzip members of 700 characters, cut wherever that is."""
+    data = text.encode()
+    return [gzip.compress(data[k : k + 700], mtime=0) for k in range(0, len(data), 700)]
+
+
+@query("load_gzip_members", _sql(f"'{PREFIX}' || source"))
+def load_gzip_members(spark, sf_dir):
+    """Files of many members, whose borders cut lines."""
+    folder = _folder(spark)
+    _render(spark, sf_dir, folder, lambda name, text: (f"{PREFIX}{name}.gz", b"".join(_members(text))))
+    return _entries(load_logs(spark, folder))
+
+
+@query("load_damaged_gzip", _sql("source", "event_type"))
+def load_damaged_gzip(spark, sf_dir):
+    """Before the last member of each file stands one that is nothing but its header: all text is read nevertheless."""
+    folder = _folder(spark)
+
+    def pack(name: str, text: str) -> tuple[str, bytes]:
+        head, _, last = text[:-1].rpartition("\n")
+        parts = [gzip.compress(f"{head}\n".encode()) if head else b"", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03", gzip.compress(f"{last}\n".encode())]
+        return f"{name}.gz", b"".join(parts)
+
+    _render(spark, sf_dir, folder, pack)
+    return _entries(load_logs(spark, folder))
+
+
+@query(
+    "load_damaged_gzip_rejects",
+    f"""WITH {LINES} SELECT source || '.gz' AS name, sum(strlen(line) + 1)::BIGINT AS bytes_read FROM ln GROUP BY source""",
+)
+def load_damaged_gzip_rejects(spark, sf_dir):
+    folder = _folder(spark)
+
+    def pack(name: str, text: str) -> tuple[str, bytes]:
+        return f"{name}.gz", gzip.compress(text.encode()) + b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03"
+
+    _render(spark, sf_dir, folder, pack)
+    return load_logs(spark, folder).rejects.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), "bytes_read")

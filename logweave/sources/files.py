@@ -57,6 +57,9 @@ def is_binary(content: Column, compat: bool = False) -> Column:
     return F.coalesce(nul | (F.regexp_count(text, F.lit(control)) > F.lit(BINARY_SHARE) * size), F.lit(False))
 
 
+# Lines of files: the line key, the text and the day that stamps without a date get.
+LINES = "source_path string, source string, block_start bigint, line_id bigint, value string, base_date date"
+
 # Folder scans list these names only, so other files are never opened.
 _TEXT_GLOB = "*.{[lL][oO][gG],[tT][xX][tT],[gG][zZ]}"
 
@@ -122,20 +125,21 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return _all(listed).distinct()
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], gzip: bool = True) -> DataFrame:
     """Lines of plain and gzip text files with their line key.
 
     Folders are read one level deep for ``.log``, ``.txt`` and ``.gz`` names; files named outright are taken
     whatever their name. Zip archives are read by :func:`logweave.sources.archives.read_archives`. Large
-    plain files are split over many tasks, a gzip file is read by one.
+    plain files are split over many tasks, a gzip file is read by one and dropped at damage; without ``gzip`` it is left
+    out, for :func:`logweave.sources.gzips.gzip_lines`, which splits it and keeps what can be read.
     """
     files, folders = split_paths(spark, paths)
     # Archives are left out by name, so Spark drops them from the listing and never opens them as text.
-    text = ~F.col("_metadata.file_name").rlike(r"(?i)\.(?:zip(?:\.gz)?|7z)\z")
+    other = r"(?i)\.(?:zip(?:\.gz)?|7z)\z" if gzip else r"(?i)\.(?:zip|gz|7z)\z"
+    text = ~F.col("_metadata.file_name").rlike(other)
     scans = [s.filter(text) for s in _scan(spark, "text", files, folders, _TEXT_GLOB)]
     if not scans:
-        schema = "source_path string, source string, block_start bigint, line_id bigint, value string, base_date date"
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], LINES)
     return _all(
         [
             s.select(
@@ -174,38 +178,41 @@ def locate(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
-def _first_bytes(path: str, n: int) -> bytes:
+def _first_bytes(path: str, n: int) -> tuple[bytes, str | None]:
+    """The first ``n`` bytes, unpacked, and why there are no more of a damaged file."""
     fs, inner = locate(path)
     with fs.open_input_stream(inner, compression=None) as stream:
         if not path.lower().endswith(".gz"):
-            return stream.read(n)
+            return stream.read(n), None
         gunzip, out, packed = zlib.decompressobj(wbits=31), b"", b""
-        while len(out) < n:
-            packed = packed or stream.read(64 * 1024)
-            if not packed:
-                if not gunzip.eof:
-                    raise EOFError("the file ends inside its compressed data")
-                break
-            if gunzip.eof:  # the next member of a concatenated file
-                gunzip = zlib.decompressobj(wbits=31)
-            out += gunzip.decompress(packed, n - len(out))
-            packed = gunzip.unconsumed_tail or gunzip.unused_data
-        return out
+        try:
+            while len(out) < n:
+                packed = packed or stream.read(4096)
+                if not packed:
+                    if not gunzip.eof:
+                        raise EOFError("the file ends inside its compressed data")
+                    break
+                if gunzip.eof:  # the next member of a concatenated file
+                    gunzip = zlib.decompressobj(wbits=31)
+                out += gunzip.decompress(packed, n - len(out))
+                packed = gunzip.unconsumed_tail or gunzip.unused_data
+        except (EOFError, zlib.error) as e:
+            return out, f"{type(e).__name__}: {e}"
+        return out, None
 
 
 def read_heads(files: DataFrame, head_bytes: int = 128 * 1024) -> DataFrame:
     """First bytes of each listed file: (source_path, content, reason); ``reason`` tells why none could be read.
 
-    Reads ``head_bytes`` per file, never the whole file; gzip files are unpacked as far as needed, so damage
-    behind the head is only met by the scan, which then drops that file. The executors must be able to open
-    the paths.
+    Reads ``head_bytes`` per file, never the whole file; gzip files are unpacked as far as needed, and of a file that is
+    damaged within its head the readable part is given. The executors must be able to open the paths.
     """
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 try:
-                    content, reason = _first_bytes(path, head_bytes), None
+                    content, reason = _first_bytes(path, head_bytes)
                 except (OSError, EOFError, zlib.error, ValueError) as e:
                     content, reason = None, f"{type(e).__name__}: {e}"
                 yield pd.DataFrame({"source_path": [path], "content": [content], "reason": [reason]})

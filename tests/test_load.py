@@ -84,6 +84,8 @@ def test_loaded_entries(loaded):
         ("app", "app.log.1", "m0"),
         ("app", "app.log.2.gz", "old banner"),
         ("app", "app.log.2.gz", "m5"),
+        # The archive breaks off before the message.
+        ("broken", "broken.log", ""),
         ("plain", "plain.TXT", "nothing known"),
         ("plain", "plain.TXT", "here"),
         ("web", "logs/web.log", "m2"),
@@ -101,7 +103,7 @@ def test_rejected_files(loaded):
 def test_applications(loaded):
     got = {r.app: (r.entries, r.files, r.title) for r in by_application(loaded.entries).collect()}
     assert got == {
-        "app": (5, 3, "app (Auto-Merged)"), "plain": (2, 1, "plain"), "web": (3, 2, "web (Auto-Merged)"), "db": (1, 1, "db"),
+        "app": (5, 3, "app (Auto-Merged)"), "plain": (2, 1, "plain"), "web": (3, 2, "web (Auto-Merged)"), "db": (1, 1, "db"), "broken": (1, 1, "broken"),
     }
 
 
@@ -110,7 +112,7 @@ def test_store_and_export(spark, loaded):
     parsed = stored(loaded.entries)
     store_entries(with_sort_time(parsed), f"{out}/entries")
     back = spark.read.parquet(f"{out}/entries")
-    assert back.count() == parsed.count() == 11
+    assert back.count() == parsed.count() == 12
     app = back.filter("app = 'app'")
     export_view(app, f"{out}/one")
     parts = sorted(glob.glob(f"{out}/one/part-*"))
@@ -118,7 +120,7 @@ def test_store_and_export(spark, loaded):
     assert got == [LINE.format(0, "m0"), LINE.format(1, "m1"), LINE.format(3, "m3"), "old banner", LINE.format(5, "m5")]
     export_views(back.withColumn("view", F.concat(F.lit("my "), "app")), f"{out}/many", compression="gzip")
     again = spark.read.text(f"{out}/many").groupBy("view_file").count().collect()
-    assert {(r[0], r[1]) for r in again} == {("my_app.log", 5), ("my_plain.log", 2), ("my_web.log", 3), ("my_db.log", 2)}
+    assert {(r[0], r[1]) for r in again} == {("my_app.log", 5), ("my_plain.log", 2), ("my_web.log", 3), ("my_db.log", 2), ("my_broken.log", 1)}
 
 
 def test_missing_paths_give_nothing(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.predicates import has_times
 from logweave.operators.ordered import ceiling_lookup, wall_seconds
+from logweave.operators.profile import entry_once
 from logweave.operators.stitch import CHUNK_BITS
 from logweave.schema import REMOTE_APP, entry_key
 from logweave.session import attach, settle
@@ -142,12 +143,12 @@ def find_views(events: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def newest(entries: DataFrame, order: Sequence[str] = ("block_start", "line_id"), by: str = "view") -> DataFrame:
-    """The last row of each view."""
+    """The last entry of each view, by its first part."""
     rest = [c for c in entries.columns if c != by]
-    top = entries.groupBy(by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
+    top = entries.filter(entry_once(entries)).groupBy(by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
     return top.select(by, "row.*")
 
 
 def tail(entries: DataFrame, n: int, order: Sequence[str] = ORDER) -> DataFrame:
-    """The last ``n`` rows of one view, newest first (a top-n, no full sort)."""
-    return entries.orderBy(*[F.col(c).desc() for c in order if c in entries.columns]).limit(n)
+    """The last ``n`` entries of one view, by their first parts, newest first (a top-n, no full sort)."""
+    return entries.filter(entry_once(entries)).orderBy(*[F.col(c).desc() for c in order if c in entries.columns]).limit(n)

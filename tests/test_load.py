@@ -179,3 +179,29 @@ def test_parts_keep_fields_and_count_once(spark, lines_of):
     assert "\n".join(r.raw for r in sorted(rows, key=lambda r: r.part)) == body
     total = by_application(parsed).first()
     assert (total.entries, total.errors) == (3, 1)
+
+
+def test_searches_see_entries_not_parts(spark, lines_of):
+    """An entry above the limit goes on in parts: counts, steps and the newest entry stay as without a limit."""
+    from logweave.operators import search, timeline
+    from logweave.operators.parse import parse_lines
+    from logweave.plans.parse_queries import DEFAULT
+
+    body = "2024-01-01 00:00:01.000 [t] ERROR a.B - big\n" + "\n".join(f"  word {k}" for k in range(20)) + "\n  rare"
+    lines = lines_of({"app.log": text(0) + body, "b.log": text(3) + body + "\n" + text(4).rstrip()})
+    seen = []
+    for limit in (1 << 28, 40):
+        entries = stored(parse_lines(lines, DEFAULT, chunk_bits=2, max_part_bytes=limit).withColumn("view", F.col("source")))
+        hit = F.contains("raw", F.lit("word"))
+        rare = F.contains("raw", F.lit("rare"))
+        counts = {m: sorted(tuple(r) for r in search.count_matches(entries, m_).collect()) for m, m_ in (("word", hit), ("rare", rare))}
+        one = entries.filter("view = 'b.log'")
+        order = ["block_start", "line_id", "part"]
+        step = search.find_next(one, rare, order).first()
+        again = search.find_next(one, rare, order, cursor=[step.block_start, step.line_id, 0]).collect()
+        views = search.find_next_in_views(entries, rare, ["app.log", "b.log"], order, "app.log").first()
+        newest = sorted((r.view, r.raw.split("\n")[0], r.part) for r in timeline.newest(entries).collect())
+        tail = [r.raw.split("\n")[0] for r in timeline.tail(one, 2, order).collect()]
+        seen.append((counts, step.raw.split("\n")[0], again, views.view, newest, tail, search.count_matches(entries, rare, by=None).first()[0]))
+    assert seen[0] == seen[1]
+    assert seen[0][0] == {"word": [("app.log", 1), ("b.log", 1)], "rare": [("app.log", 1), ("b.log", 1)]} and seen[0][6] == 2

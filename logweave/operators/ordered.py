@@ -6,10 +6,12 @@ bounded size; a small summary, one row per bucket, carries results across bucket
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.session import settle, small_side
+from logweave.session import attach, scratch_path, settle, small_side
 
 
 def wall_seconds(timestamp) -> Column:
@@ -19,6 +21,25 @@ def wall_seconds(timestamp) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def with_positions(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "position") -> DataFrame:
+    """Add ``out``: the number of each row in the order, from 1, within its group of ``by`` or over all rows.
+
+    The rows are split by range and sorted in parallel; a number is the row's place in its range plus the rows of its group
+    in the ranges before. Only one small row per range and group goes through a window, so one group, or no group at
+    all, is no single task's load. ``order`` should tell all rows apart, and ``by`` must not be null.
+    """
+    placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = placed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_row", 33))
+    path = scratch_path(df.sparkSession, "positions")
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    ranges = settle(placed.groupBy(*by, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).drop("_first", "_n")
+    found = attach(placed, ranges, [*by, "_range"], "inner")
+    return found.withColumn(out, F.col("_row") + F.col("_offset")).drop("_row", "_range", "_offset")
+
+
 def carry_forward(df: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
     """Add ``out``: the last non-null ``value`` at or before each row of its group.
 

@@ -8,7 +8,7 @@ from logweave.functions import fields as f
 from logweave.functions import predicates as p
 from logweave.operators import facets, profile, search, timeline
 from logweave.operators.formats import Layout
-from logweave.operators.ordered import wall_seconds
+from logweave.operators.ordered import wall_seconds, with_positions
 from logweave.operators.parse import parse_lines, read_lines as read_fields
 from logweave.plans import rendering as r
 from logweave.plans.load import stored
@@ -294,6 +294,11 @@ def e03(spark, sf_dir):
     UNION ALL SELECT source, ts_ms, ts_ms, msg FROM ln""",
 )
 def h01(spark, sf_dir):
+    return timeline.chronological(_with_headers(spark, sf_dir)).select("source", "timestamp", "sort_ts", "message")
+
+
+def _with_headers(spark, sf_dir):
+    """Entries of all sources, each led by a header without time, with their sort time."""
     lines = r.event_lines(spark, sf_dir)
     sources = lines.select("source_path", "source").distinct()
     header = sources.select(
@@ -301,8 +306,22 @@ def h01(spark, sf_dir):
         F.concat(F.lit("log of "), "source").alias("value"),
     )
     entries = parse_lines(lines.drop("view", "event_id").unionByName(header), DEFAULT, chunk_bits=r.CHUNK_BITS)
-    ordered = timeline.chronological(timeline.with_sort_time(stored(entries), chunk_bits=r.CHUNK_BITS))
-    return ordered.select("source", "timestamp", "sort_ts", "message")
+    return timeline.with_sort_time(stored(entries), chunk_bits=r.CHUNK_BITS)
+
+
+@query(
+    "h01_positions",
+    f"""WITH {LINES}, first AS (SELECT source, min(ts_ms) AS sort_ts FROM ln GROUP BY source),
+    a AS (SELECT source, sort_ts, -1 AS event_id, 'log of ' || source AS message FROM first
+          UNION ALL SELECT source, ts_ms, event_id, msg FROM ln)
+    SELECT source, message, row_number() OVER (ORDER BY sort_ts, source, event_id) AS position,
+           row_number() OVER (PARTITION BY source ORDER BY sort_ts, event_id) AS source_position FROM a""",
+)
+def h01_positions(spark, sf_dir):
+    entries = _with_headers(spark, sf_dir).select("source", "source_path", "sort_ts", "block_start", "line_id", "part", "message")
+    placed = with_positions(entries, timeline.ORDER)
+    placed = with_positions(placed, ["position"], by=["source"], out="source_position")
+    return placed.select("source", "message", "position", "source_position")
 
 
 _KEY = ("block_start", "line_id")
@@ -431,6 +450,18 @@ def f05(spark, sf_dir):
     return each.unionAll(every.select(F.lit("all"), F.lit(None).cast("string"), "matches"))
 
 
+@query(
+    "f05_match_counts_of_parts",
+    f"""WITH {EVENTS} SELECT view, count(*) AS matches FROM ev LEFT JOIN documents ON event_id = doc_id
+        WHERE contains(msg, ' the ') OR contains(text, ' the ') GROUP BY view""",
+)
+def f05_parts(spark, sf_dir):
+    """Entries above a small limit go on in further parts, and each counts once nevertheless."""
+    lines = r.event_lines_with_bodies(spark, sf_dir)
+    entries = stored(parse_lines(lines, DEFAULT, keep=("view",), chunk_bits=2, max_part_bytes=200))
+    return search.count_matches(entries, F.contains("raw", F.lit(" the ")))
+
+
 @query(
     "f06_source_counts",
     f"""WITH {EVENTS}, s AS (SELECT view, CASE WHEN lvl = 'INFO' AND thr = 'user-7' THEN NULL ELSE source END AS source FROM ev)
@@ -468,6 +499,17 @@ def i01(spark, sf_dir):
     return ordered.select("view", "origin_view", "timestamp", "level", "source", "message")
 
 
+@query(
+    "i01_merged_positions",
+    f"""WITH {EVENTS} SELECT view AS origin_view, event_id, row_number() OVER (ORDER BY ts, source, event_id) AS position
+        FROM ev WHERE view IN ('click', 'error', 'signup')""",
+)
+def i01_positions(spark, sf_dir):
+    merged = timeline.merge_views(r.event_entries(spark, sf_dir), ["click", "error", "signup"])
+    placed = with_positions(timeline.with_sort_time(merged, chunk_bits=r.CHUNK_BITS), timeline.ORDER)
+    return placed.select("origin_view", "event_id", "position")
+
+
 @query("i03_unmerged_view", f"WITH {EVENTS} SELECT view, ts AS timestamp, lvl AS level, source, msg AS message FROM ev WHERE view = 'error'")
 def i03(spark, sf_dir):
     merged = timeline.merge_views(r.event_entries(spark, sf_dir), ["click", "error", "signup"])
@@ -638,6 +680,18 @@ def k01(spark, sf_dir):
     return files.read_lines(spark, path).select("value")
 
 
+@query(
+    "k01_exported_positions",
+    f"WITH {LINES} SELECT line AS value, row_number() OVER (ORDER BY ts, source, event_id) AS position FROM ln WHERE view = 'error'",
+)
+def k01_positions(spark, sf_dir):
+    """The exported text read back in the order of its files and lines."""
+    one = r.event_entries(spark, sf_dir).filter(F.col("view") == "error").withColumn("sort_ts", F.col("timestamp"))
+    path = scratch_path(spark, "k01-order")
+    export.export_view(one, path)
+    return with_positions(files.read_lines(spark, path), ["source_path", "block_start", "line_id"]).select("value", "position")
+
+
 @query("k02_exported_views", f"WITH {LINES} SELECT 'view_' || view || '.log' AS view_file, line AS value FROM ln")
 def k02(spark, sf_dir):
     entries = r.event_entries(spark, sf_dir).withColumn("sort_ts", F.col("timestamp"))

@@ -163,3 +163,20 @@ def test_attach_is_the_same_with_and_without_broadcast(spark, how):
     keys = [("hot" if i % 3 else str(i % 7), i) for i in range(300)]
     want = sorted((k, i, known.get(k, 0)) for k, i in keys if how == "left" or k in known)
     assert rows(broadcast) == rows(salted) == want
+
+
+def test_positions_equal_row_numbers(spark):
+    """Over all rows and per group, with one group that holds most rows, over many ranges."""
+    from logweave.operators.ordered import with_positions
+
+    rows = [("hot" if k % 5 else f"g{k % 3}", (k * 7919) % 1009, k) for k in range(1009)]
+    df = spark.createDataFrame(rows, "g string, at int, id int").repartition(5)
+    got = with_positions(with_positions(df, ["at", "id"]), ["at", "id"], by=["g"], out="own").collect()
+    everything = {k: n for n, (_, _, k) in enumerate(sorted(rows, key=lambda r: r[1:]), 1)}
+    own = {}
+    for g in {r[0] for r in rows}:
+        own |= {k: n for n, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1)}
+    assert len(got) == len(rows) and all((r.position, r.own) == (everything[r.id], own[r.id]) for r in got)
+    assert with_positions(df.limit(0), ["at"]).count() == 0
+    down = with_positions(df, [F.col("at").desc(), "id"]).filter("position = 1").first()
+    assert down.at == max(r[1] for r in rows)

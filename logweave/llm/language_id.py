@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import crc_remainder, fresh
+from logweave.llm.common import crc_remainder, fresh, stored
 from logweave.llm.words import Rolling, slices, text_bytes
 
 ORDER = 4
@@ -242,7 +242,7 @@ def gram_counts(column: pa.Array, langs: list[str]) -> dict[tuple[str, str], int
 
 
 def sample(docs: DataFrame, folds: int) -> DataFrame:
-    """At most SAMPLE_PER_LANGUAGE documents per language outside the held-out fold: id, lang, place.
+    """At most SAMPLE_PER_LANGUAGE documents per language outside the held-out fold: id, lang, n (rows of the id), place.
 
     A hash of the id first thins each language to a few times that number, so the ranking never gathers a whole language.
     An id counts once, however many rows have it; if they differ in language, the first in order counts.
@@ -252,17 +252,19 @@ def sample(docs: DataFrame, folds: int) -> DataFrame:
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     few = known.join(F.broadcast(sizes), "lang").filter(chance * F.col("n") < 3.0 * SAMPLE_PER_LANGUAGE)
-    few = few.groupBy("id").agg(F.min("lang").alias("lang"))
+    few = few.groupBy("id").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(chance, "id"))
-    return few.select("id", "lang", place.alias("place")).filter(F.col("place") <= SAMPLE_PER_LANGUAGE)
+    return few.select("id", "lang", "n", place.alias("place")).filter(F.col("place") <= SAMPLE_PER_LANGUAGE)
 
 
 def fit(docs: DataFrame, folds: int = 5) -> Model:
     """Train on a bounded sample of labelled documents; a part of it sets temperature and rejection limits."""
-    chosen = sample(docs, folds).withColumn("calibrate", F.col("place") % CALIBRATE == 0).drop("place")
+    chosen = stored(sample(docs, folds), "language-sample").withColumn("calibrate", F.col("place") % CALIBRATE == 0).drop("place")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    # One text per id: the first in order of those that rows of this id have.
-    rows = rows.groupBy("id", "lang", "calibrate").agg(F.min("text").alias("text"))
+    if not chosen.filter("n > 1").isEmpty():
+        # One text per id: the first in order of those that rows of this id have.
+        again = rows.filter("n > 1").groupBy("id", "lang", "calibrate").agg(F.min("text").alias("text"))
+        rows = rows.filter("n = 1").drop("n").unionByName(again)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,11 +50,13 @@ def template(raw: Column) -> Column:
     A capitalised word inside a sentence (after a letter, digit, comma or semicolon) is a name, a word of digits and
     punctuation a number, a unit after a number a unit. All else is in small letters without punctuation at its edges.
     """
+    # Patterns start with the blank before a word or a plain class, so that most places fail at their first character.
     text = F.translate(raw, "#", "-")
-    text = F.lower(F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}[^ ]*", NAME))
-    text = F.regexp_replace(text, r"(?<= )[^\p{L}\p{N} #]*[0-9][^\p{L} #]*(?= )", NUMBER)
-    text = F.regexp_replace(text, rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})[^\p{{L}}\p{{N}} #]*(?= )", UNIT)
-    return F.regexp_replace(text, r"[^\p{L}\p{N}# ]+(?= )|(?<= )[^\p{L}\p{N}# ]+", "")
+    text = F.lower(F.regexp_replace(text, r" (?<=[\p{L}\p{N},;] )\p{Lu}[^ ]*", f" {NAME}"))
+    text = F.regexp_replace(text, r" [^\p{L}\p{N} #]*[0-9][^\p{L} #]*(?= )", f" {NUMBER}")
+    text = F.regexp_replace(text, rf"{NUMBER} (?:{'|'.join(UNITS)})[^\p{{L}}\p{{N}} #]*(?= )", f"{NUMBER} {UNIT}")
+    text = F.regexp_replace(text, r"[^\p{L}\p{N}# ]+(?= )", "")
+    return F.regexp_replace(text, r" [^\p{L}\p{N}# ]+", " ")
 
 
 def _let(value: Column, use) -> Column:

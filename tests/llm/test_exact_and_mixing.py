@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm.exact_dedup import exact_groups
+from logweave.llm.common import stored
+from logweave.llm.exact_dedup import digest_rows, exact_groups, merge_runs
 from logweave.llm.mixing import mix_sources
 
 # Copies, an empty and a null text, a repeated row, null ids and a very long text.
@@ -32,6 +33,29 @@ def test_groups_equal_brute_force(spark, keep, fan_in):
     assert sorted(kept, key=str) == sorted([(hashlib.sha256(t.encode()).hexdigest(), i) for t, i in best.items()], key=str)
 
 
+@pytest.mark.parametrize("fan_in,lane_rows,rounds", [(2, 50, 4), (4, 1 << 20, 2), (16, 7, 1)])
+def test_runs_stay_sorted_and_meet_in_rounds(spark, fan_in, lane_rows, rounds):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(9)
+    rows = stored(digest_rows(docs), "digests")
+    root = merge_runs(rows, "smallest", fan_in, lane_rows)
+    plan = root._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") == 2 * (rounds + 1)
+    assert root._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == rounds + 1
+    got = {bytes(r.digest): (r["first"].id, r.n) for r in root.collect()}
+    want = defaultdict(list)
+    for i, text in ROWS:
+        want[hashlib.sha256((text or "").encode()).digest()].append(i)
+    assert got == {d: (None if None in ids else min(ids), len(ids)) for d, ids in want.items()}
+
+
+def test_equal_digests_of_unequal_texts_stay_apart(spark):
+    """Rows made to share a digest: the second hash and the length tell them apart."""
+    rows = [(1, 5, 3, 0), (2, 5, 3, 1), (3, 6, 3, 1), (4, 5, 4, 2), (5, 6, 3, 0)]
+    made = spark.createDataFrame([(i, b"d" * 32, c, n, leaf, i) for i, c, n, leaf in rows], "id long, digest binary, check long, n_bytes long, leaf int, tag long")
+    got = {(r["first"].id, r.n) for r in merge_runs(made, fan_in=2).collect()}
+    assert got == {(1, 2), (3, 2), (4, 1)}
+
+
 def test_exact_groups_of_no_rows(spark):
     assert exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -15,6 +15,8 @@ from logweave.schema import REMOTE_APP, entry_key
 from logweave.session import attach, settle
 
 MERGED_VIEW = "Merged View"
+# Views of a table that meet the anchors at once.
+VIEW_BLOCK = 1000
 ORDER = ("sort_ts", "source_path", "block_start", "line_id", "part")
 
 
@@ -75,10 +77,27 @@ def sync_to(entries: DataFrame, anchor, source_view: str | None = None, key: str
     )
 
 
+def _targets(anchors: DataFrame, views: Sequence[str] | DataFrame) -> DataFrame:
+    """Each anchor with every view that it moves: (anchor_id, anchor_view, timestamp, view), never its own view."""
+    asked = anchors.select("anchor_id", F.col("view").alias("anchor_view"), "timestamp")
+    if not isinstance(views, DataFrame):
+        met = asked.withColumn("view", F.explode(F.array(*[F.lit(v) for v in views]).cast("array<string>")))
+    elif "anchor_view" in views.columns:
+        met = attach(asked, settle(views.select("anchor_view", "view").distinct()), ["anchor_view"], "inner")
+    else:
+        # All pairs are the result asked for; the views meet the anchors in blocks, by an equal join.
+        names = settle(views.select("view").filter(F.col("view").isNotNull()).distinct())
+        blocks = names.count() // VIEW_BLOCK + 1
+        names = names.withColumn("_block", F.pmod(F.xxhash64("view"), F.lit(blocks)).cast("int"))
+        everywhere = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = attach(everywhere, names, ["_block"], "inner").drop("_block")
+    return met.filter(F.col("view") != F.col("anchor_view"))
+
+
 def sync_views(
     entries: DataFrame,
     anchors: DataFrame,
-    views: Sequence[str] | None = None,
+    views: Sequence[str] | DataFrame | None = None,
     key: str = "entry_key",
     visible: Column | None = None,
     bucket_seconds: int = 60,
@@ -88,9 +107,11 @@ def sync_views(
     ``entries`` has view, timestamp and an orderable ``key``; ``anchors`` has anchor_id, view and timestamp.
     The result has one row per anchor and other view: anchor_id, anchor_ts, view, timestamp, key, clamped,
     and ``visible`` (whether the target passes that filter). An anchor without time matches nothing.
+
+    ``views`` says which views are moved: a short list of names, a table with ``view``, a table of links with
+    ``anchor_view`` and ``view`` (an anchor then moves only the views linked to its own), or by default all views of
+    ``entries``. Tables may have any number of views; nothing of them goes through the driver or into the plan.
     """
-    if views is None:
-        views = sorted(r["view"] for r in entries.select("view").distinct().collect())
     shown = F.coalesce(visible, F.lit(False)) if visible is not None else F.lit(True)
     bucket = F.floor(wall_seconds("timestamp") / F.lit(bucket_seconds))
     points = entries.filter(F.col("timestamp").isNotNull()).select(
@@ -99,12 +120,7 @@ def sync_views(
         F.col("timestamp").alias("pos"),
         F.struct(F.col(key).alias("key"), F.col("timestamp"), shown.alias("visible")).alias("hit"),
     )
-    targets = (
-        anchors.select("anchor_id", F.col("view").alias("anchor_view"), F.col("timestamp"))
-        .withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
-        .filter(F.col("view") != F.col("anchor_view"))
-        .withColumn("pos", F.col("timestamp"))
-    )
+    targets = _targets(anchors, views if views is not None else entries.select("view")).withColumn("pos", F.col("timestamp"))
     queries = targets.filter(F.col("pos").isNotNull()).select("view", bucket.alias("bucket"), "pos")
     found = ceiling_lookup(points, queries, ["view"])
     return targets.join(found, ["view", "pos"], "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import fields as f
 from logweave.functions import predicates as p
-from logweave.operators import facets, profile, search, timeline
+from logweave.operators import facets, profile, search, skipping, timeline
 from logweave.operators.formats import Layout
 from logweave.operators.ordered import wall_seconds, with_positions
 from logweave.operators.parse import parse_lines, read_lines as read_fields
@@ -201,6 +201,50 @@ def d04(spark, sf_dir):
     )
 
 
+def _searchable_documents(spark, sf_dir):
+    docs = r.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"), F.col("source").alias("view"))
+    path = scratch_path(spark, "searchable")
+    skipping.store_searchable(docs, path, [F.col("message")], ["doc_id"], block_rows=1000)
+    return path
+
+
+@query(
+    "d04_indexed_search",
+    """SELECT doc_id, 'rare' AS asked FROM documents WHERE regexp_matches(text, '(?i)anhaly')
+       UNION ALL SELECT doc_id, 'word' FROM documents WHERE regexp_matches(text, '(?i)\\bthe\\b')
+       UNION ALL SELECT doc_id, 'none' FROM documents WHERE contains(lower(text), 'zq zq')""",
+)
+def d04_indexed(spark, sf_dir):
+    """Searches of stored documents that leave out blocks without the trigrams."""
+    path = _searchable_documents(spark, sf_dir)
+    asked = {"rare": p.text_match("anhaly"), "word": p.text_match("the", whole_word=True), "none": p.text_match("zq zq")}
+    literal = {"rare": "anhaly", "word": "the", "none": "zq zq"}
+    found = [
+        skipping.searchable(spark, path, literal[name]).filter(match).select("doc_id", F.lit(name).alias("asked"))
+        for name, match in asked.items()
+    ]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query(
+    "h02_indexed_next_match",
+    f"""WITH {EVENTS}, hits AS (SELECT event_id, view, msg AS message FROM ev WHERE contains(msg, '777 '))
+    (SELECT 'next' AS way, * FROM hits WHERE event_id > 100 ORDER BY event_id LIMIT 1)
+    UNION ALL (SELECT 'last', * FROM hits ORDER BY event_id DESC LIMIT 1)""",
+)
+def h02_indexed(spark, sf_dir):
+    path = scratch_path(spark, "searchable")
+    entries = r.event_entries(spark, sf_dir).select("event_id", "view", "message")
+    skipping.store_searchable(entries, path, [F.col("message")], ["event_id"], block_rows=500)
+    near, match = skipping.searchable(spark, path, "777 "), p.text_match("777 ")
+    steps = {
+        "next": search.find_next(near, match, ["event_id"], [100]),
+        "last": search.find_next(near, match, ["event_id"], backward=True),
+    }
+    named = [d.select(F.lit(way).alias("way"), "event_id", "view", "message") for way, d in steps.items()]
+    return named[0].unionAll(named[1])
+
+
 @query("d08_at_least_warn", "SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2')")
 def d08(spark, sf_dir):
     return _leveled(spark, sf_dir).filter(p.at_least("level", "WARN")).select("o_orderkey")
@@ -224,15 +268,34 @@ ASOF LEFT JOIN (SELECT view, ts, event_id FROM ev) n ON n.view = v.view AND a.ts
 JOIN (SELECT view, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM ev GROUP BY view) z ON z.view = v.view"""
 
 
-def _synced(entries, chosen):
+def _synced(entries, chosen, views=None):
     anchors = timeline.anchors_from(entries, chosen, key="event_id")
-    found = timeline.sync_views(entries, anchors, VIEWS, key="event_id", bucket_seconds=3600)
+    found = timeline.sync_views(entries, anchors, views, key="event_id", bucket_seconds=3600)
     return found.select("anchor_id", "anchor_ts", "view", "timestamp", "event_id", "clamped")
 
 
 @query("e01_synced_views", f"WITH {EVENTS} {_ASOF.format(anchors='true')}")
 def e01(spark, sf_dir):
-    return _synced(r.event_entries(spark, sf_dir), F.lit(True))
+    return _synced(r.event_entries(spark, sf_dir), F.lit(True), VIEWS)
+
+
+@query(
+    "e01_linked_views",
+    f"""WITH {EVENTS}, u AS (SELECT event_id, ts, thr AS view FROM ev),
+    k AS (SELECT DISTINCT 'user-' || user_id AS anchor_view, 'user-' || (user_id + d) AS view FROM ev, (VALUES (1), (7)) AS t(d))
+    SELECT a.event_id AS anchor_id, a.ts AS anchor_ts, k.view, coalesce(n.ts, z.ts) AS timestamp,
+           coalesce(n.event_id, z.event_id) AS event_id, n.ts IS NULL AS clamped
+    FROM u a JOIN k ON k.anchor_view = a.view ASOF LEFT JOIN u n ON n.view = k.view AND a.ts <= n.ts
+    LEFT JOIN (SELECT view, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM u GROUP BY view) z ON z.view = k.view""",
+)
+def e01_linked(spark, sf_dir):
+    """A view per user; an anchor moves the views linked with its own, some of which have no entry."""
+    entries = r.event_entries(spark, sf_dir).withColumn("view", F.col("thread"))
+    users = r.table(spark, sf_dir, "events").select("user_id").distinct()
+    user = F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("anchor_view")
+    other = F.concat(F.lit("user-"), (F.col("user_id") + F.col("d")).cast("string")).alias("view")
+    links = users.withColumn("d", F.explode(F.array(F.lit(1), F.lit(7)))).select(user, other)
+    return _synced(entries, F.lit(True), links)
 
 
 @query("e02_synced_to_rows", f"WITH {EVENTS} {_ASOF.format(anchors="lvl = 'ERROR'")}")

@@ -22,15 +22,18 @@ def entries_of(spark, rng, n=120, views="abc", nulls=0.1):
     return rows, spark.createDataFrame(rows, "view string, timestamp timestamp_ntz, entry_key long").repartition(4)
 
 
-@pytest.mark.parametrize("bucket_seconds", [1, 60, 100_000])
-def test_sync_views(spark, bucket_seconds):
+@pytest.mark.parametrize("bucket_seconds,as_table", [(1, False), (60, True), (100_000, False)])
+def test_sync_views(spark, bucket_seconds, as_table):
     rng = random.Random(bucket_seconds)
     rows, entries = entries_of(spark, rng)
     rows = [r for r in rows if r[0] != "z"]
     anchors = [(i, rng.choice("abz"), T0 + dt.timedelta(seconds=rng.randrange(-50, 600))) for i in range(60)]
     anchors += [(100, "a", None), (101, "b", T0 + dt.timedelta(seconds=77)), (102, "c", T0 + dt.timedelta(seconds=77))]
     df = spark.createDataFrame(anchors, "anchor_id long, view string, timestamp timestamp_ntz")
-    got = timeline.sync_views(entries, df, ["a", "b", "c", "z"], bucket_seconds=bucket_seconds, visible=F.col("entry_key") % 2 == 0)
+    views = ["a", "b", "c", "z"]
+    if as_table:
+        views = spark.createDataFrame([(v,) for v in [*views, None, "a"]], "view string")
+    got = timeline.sync_views(entries, df, views, bucket_seconds=bucket_seconds, visible=F.col("entry_key") % 2 == 0)
     got = {(r.anchor_id, r.view): (r.timestamp, r.entry_key, r.clamped, r.visible) for r in got.collect()}
     want = {}
     for anchor, view, at in anchors:
@@ -46,6 +49,36 @@ def test_sync_views(spark, bucket_seconds):
     assert {k: v[:2] for k, v in got.items()} == want
 
 
+def test_sync_many_views_of_a_table(spark):
+    """100 000 views: neither the driver nor the plan holds their names."""
+    n = 100_000
+    entries = spark.range(n).select(
+        F.concat(F.lit("v"), "id").alias("view"), F.lit(T0).cast("timestamp_ntz").alias("timestamp"), F.col("id").alias("entry_key")
+    )
+    anchors = spark.createDataFrame([(1, "v5", T0), (2, "none", T0 + dt.timedelta(seconds=1))], "anchor_id long, view string, timestamp timestamp_ntz")
+    found = timeline.sync_views(entries, anchors)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    got = {(r.anchor_id, r.clamped): r.n for r in found.groupBy("anchor_id", "clamped").agg(F.count("entry_key").alias("n")).collect()}
+    assert got == {(1, False): n - 1, (2, True): n}
+
+
+def test_sync_linked_views(spark):
+    rng = random.Random(11)
+    rows, entries = entries_of(spark, rng)
+    links = [("a", "b"), ("a", "z"), ("b", "b"), ("c", "a"), ("a", "b")]
+    anchors = [(i, rng.choice("abcq"), T0 + dt.timedelta(seconds=rng.randrange(-50, 600))) for i in range(40)]
+    df = spark.createDataFrame(anchors, "anchor_id long, view string, timestamp timestamp_ntz")
+    table = spark.createDataFrame(links, "anchor_view string, view string")
+    got = sorted((r.anchor_id, r.view, r.entry_key or -1) for r in timeline.sync_views(entries, df, table).collect())
+    want = []
+    for anchor, own, at in anchors:
+        for view in sorted({v for a, v in links if a == own and v != own}):
+            timed = sorted((ts, k) for w, ts, k in rows if w == view and ts is not None)
+            after = [k for ts, k in timed if ts >= at]
+            want.append((anchor, view, (after[0] if after else timed[-1][1]) or -1 if timed else -1))
+    assert got == sorted(want)
+
+
 def test_sync_to_one_time(spark):
     rng = random.Random(3)
     rows, entries = entries_of(spark, rng)

@@ -156,7 +156,11 @@ def mix_sources(
 
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 7) -> DataFrame:
-    """The mix itself: rows of ``docs`` (doc_id, text, source and more), each as often as ``mix_sources`` takes it."""
+    """The mix itself: rows of ``docs`` (doc_id, text, source and more), each as often as ``mix_sources`` takes it.
+
+    Null and empty texts have no words, so nothing asks for them; a null source is a source of its own; repeated rows each
+    have their share; other columns, whatever their names, are unchanged; an empty table gives an empty mix.
+    """
     names = docs.columns
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),

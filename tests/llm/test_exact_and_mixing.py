@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import stored
 from logweave.llm.exact_dedup import digest_rows, exact_groups, merge_runs
-from logweave.llm.mixing import mix_sources
+from logweave.llm.mixing import mix_sources, repeat_documents
 
 # Copies, an empty and a null text, a repeated row, null ids and a very long text.
 ROWS = [(1, "a b"), (2, "a b"), (3, "a  b"), (4, ""), (5, None), (6, "x"), (6, "x"), (None, "x"), (7, "w " * 100_000)]
@@ -92,3 +92,24 @@ def test_mix_meets_targets_and_repeats(spark):
 
 def test_mix_of_no_rows(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_repeated_documents_are_the_mix(spark):
+    """Nulls, an empty and a very long text, repeated rows and columns named like those used inside."""
+    rows = [(k % 60, " ".join(["w"] * (1 + k % 5)), "ab"[k % 2], k) for k in range(80)]
+    rows += [(7, "w w w", "b", 7), (90, None, "a", 1), (91, "", None, 2), (92, "x y", None, 3), (None, "n " * 9, "a", 4), (93, "long " * 20_000, "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    docs = docs.withColumns({"size": F.lit("s"), "row": F.lit(1), "u": F.lit(None).cast("int")})
+    mix = repeat_documents(docs)
+    assert mix.columns == docs.columns
+    taken, words, n = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in mix.collect():
+        assert (r.size, r.row, r.u) == ("s", 1, None) and (r.doc_id, r.text, r.source, r.copies) in rows and r.text
+        taken[r.source] += len(r.text.split())
+        n[(r.doc_id, r.text, r.source, r.copies)] += 1
+    for i, text, source, _ in rows:
+        words[source] += len((text or "").split())
+    assert all(k <= 2 * rows.count(row) for row, k in n.items())
+    assert sum(taken.values()) == sum(r.size * r.copies for r in mix_sources(docs).collect())
+    assert all(taken[s] <= 2 * words[s] for s in taken)
+    assert repeat_documents(docs.limit(0)).count() == 0

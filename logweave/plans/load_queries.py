@@ -10,11 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.fields import app_name
+from logweave.operators.detect import parse_detected
+from logweave.operators.formats import default_formats
 from logweave.plans import rendering as r
 from logweave.plans.load import load_logs
 from logweave.plans.queries import EVENTS, LINES, query
-from logweave.session import scratch_path
+from logweave.session import scratch_path, settle
+from logweave.sources import followed
 from logweave.sources.files import locate
+from logweave.streaming import live
 
 # A blank, a percent sign and a plus in every file name.
 PREFIX = "a b%20+"
@@ -148,3 +153,36 @@ def load_damaged_gzip_rejects(spark, sf_dir):
 
     _render(spark, sf_dir, folder, pack)
     return load_logs(spark, folder).rejects.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), "bytes_read")
+
+
+@query("load_planned_ranges", _sql(f"'{PREFIX}' || source"))
+def load_planned_ranges(spark, sf_dir):
+    """The planned source in ranges of 64 KiB, its lines stitched in chunks of bytes."""
+    folder = _folder(spark)
+    _render(spark, sf_dir, folder, lambda name, text: (PREFIX + name, text.encode()))
+    lines = settle(followed.readable(followed.scan_lines(spark, folder, 1 << 16)))
+    return _followed_entries(lines)
+
+
+def _followed_entries(lines: DataFrame) -> DataFrame:
+    entries = parse_detected(lines, default_formats(), keep=("source",), chunk_bits=followed.POSITION_BITS)
+    app = app_name(F.col("source")).alias("app")
+    return entries.select(app, "source", "timestamp", "level", "thread", "logger", "message")
+
+
+# Looks at the growing folder of the next query.
+LOOKS = 3
+
+
+@query("load_followed_folder", _sql(f"'{PREFIX}' || source"))
+def load_followed_folder(spark, sf_dir):
+    """Every file grows in pieces that end inside lines; between them a stream takes what is there, from its checkpoint each time."""
+    folder, landed, offsets = _folder(spark), scratch_path(spark, "landed"), scratch_path(spark, "landed-offsets")
+
+    def upto(look: int):
+        return lambda name, text: (PREFIX + name, text.encode()[: len(text.encode()) * look // LOOKS])
+
+    for look in range(1, LOOKS + 1):
+        _render(spark, sf_dir, folder, upto(look))
+        live.append_to(followed.follow_lines(spark, folder, 1 << 16), landed, offsets, available_now=True).awaitTermination()
+    return _followed_entries(followed.readable(spark.read.parquet(landed)))

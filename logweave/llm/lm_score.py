@@ -2,11 +2,17 @@
 
 Texts are packed into chunks, one row each, of word numbers and the chunk's distinct word hashes. A chunk asks for the corpus
 counts of its distinct words and bigrams: the sorted hashes are cut by hash range into buckets, each bucket adds up what
-all chunks have, and sends each chunk the totals in the order asked. So a frequent word or bigram is one entry per
+all chunks have, and sends the totals back in the order asked. So a frequent word or bigram is one entry per
 chunk, not one per occurrence, and no table of counts is ever on the driver or broadcast.
+
+Chunks reach the buckets in rounds of at most ``FAN`` ranges: in each round but the last, about as many chunks as there are ranges meet, are
+merged and cut into finer ranges, and the totals come back the same way. So a chunk sends at most ``FAN`` rows a round, the rounds are
+the logarithm of the number of buckets, and rows grow with the corpus and that logarithm, not with its square.
 """
 
+import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +27,8 @@ from logweave.llm.words import Rolling, mix64, text_slices
 CHUNK_BYTES = 5 << 20
 # Hashes that one bucket gathers, about.
 BUCKET_HASHES = 2_000_000
+# Ranges that hashes are cut into in one round.
+FAN = 64
 HASH_BITS = 56
 # Context frequencies 0, 1, 2-3, 4-7, ... and steps per octave of the cells in which EM sees the counts.
 CONTEXTS = 32
@@ -146,35 +154,74 @@ class Chunk:
         return words, uni, pairs, np.bincount(place, self.learn, len(pairs)).astype(np.uint64)
 
 
-def _requests(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "chunk", "words", "uni", "pairs", "bi"]
-    edges = np.array([(k << HASH_BITS) // buckets for k in range(1, buckets)], np.uint64)
+REQUEST = "bucket long, grp long, sender string, words binary, uni binary, pairs binary, bi binary"
+REPLY = "bucket long, sender string, uni binary, bi binary"
+
+
+def rounds(size: int) -> tuple[int, int]:
+    """(rounds, ranges a round) by which texts of ``size`` bytes reach buckets of about ``BUCKET_HASHES`` hashes."""
+    # A word takes six bytes or so, and about one token in 1.3 is another bigram of its chunk.
+    buckets = max(1, round(size / 6 / 1.3 / BUCKET_HASHES))
+    n = 1
+    while FAN**n < buckets:
+        n += 1
+    fan = max(1, math.ceil(buckets ** (1 / n) - 1e-9))
+    return n, fan
+
+
+def _cut(run: tuple, sender: str, group: int, low: int, fan: int, total: int) -> pa.RecordBatch:
+    """Requests of a sorted run (words, their counts, pairs, their counts) to the ``fan`` buckets from ``low`` of ``total``."""
+    words, uni, pairs, bi = run
+    edges = np.array([(k << HASH_BITS) // total for k in range(low + 1, low + fan)], np.uint64)
+    cut_w = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+    cut_p = [0, *np.searchsorted(pairs, edges).tolist(), len(pairs)]
+    blobs = [[], [], [], []]
+    for k in range(fan):
+        w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
+        for column, blob in zip(blobs, (pack_sorted(words[w]), pack(uni[w]), pack_sorted(pairs[p]), pack(bi[p])), strict=True):
+            column.append(blob)
+    columns = [pa.array(range(low, low + fan), pa.int64()), pa.array([group] * fan, pa.int64()), pa.array([sender] * fan)]
+    columns += [pa.array(b, pa.binary()) for b in blobs]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "grp", "sender", "words", "uni", "pairs", "bi"])
+
+
+def _requests(batches: Iterator[pa.RecordBatch], fan: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Requests of chunks to the ranges of the first round; chunks of one group meet there."""
     for batch in batches:
         for row in batch.to_pylist():
-            words, uni, pairs, bi = Chunk(row).distinct()
-            cut_w = [0, *np.searchsorted(words, edges).tolist(), len(words)]
-            cut_p = [0, *np.searchsorted(pairs, edges).tolist(), len(pairs)]
-            for low in range(0, buckets, 256):
-                columns = [[] for _ in names]
-                for k in range(low, min(low + 256, buckets)):
-                    w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
-                    blobs = (pack_sorted(words[w]), pack(uni[w]), pack_sorted(pairs[p]), pack(bi[p]))
-                    for column, value in zip(columns, (k, row["chunk"], *blobs), strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.string(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            group = zlib.crc32(row["chunk"].encode()) % groups
+            yield _cut(Chunk(row).distinct(), row["chunk"], group, 0, fan, fan)
+
+
+def _asked(table: pa.Table, keys: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of all requests in a table, the place of each request's hashes among them, and where requests end."""
+    asked = [unpack_sorted(b) for b in table[keys].to_pylist()]
+    kinds, place = np.unique(np.concatenate(asked), return_inverse=True)
+    return kinds, place, np.cumsum([len(a) for a in asked])[:-1]
+
+
+def _summed(table: pa.Table, counts: str, place: np.ndarray, n: int) -> np.ndarray:
+    own = np.concatenate([unpack(b) for b in table[counts].to_pylist()])
+    return np.bincount(place, own, n).astype(np.uint64)
+
+
+def _merged(table: pa.Table, level: int, fan: int) -> pa.Table:
+    """Requests to finer ranges, of all requests of a group in one range taken together."""
+    run = []
+    for keys, counts in (("words", "uni"), ("pairs", "bi")):
+        kinds, place, _ = _asked(table, keys)
+        run += [kinds, _summed(table, counts, place, len(kinds))]
+    bucket, group = table["bucket"][0].as_py(), table["grp"][0].as_py()
+    return pa.Table.from_batches([_cut(tuple(run), f"{bucket}-{group}", group // fan, bucket * fan, fan, fan ** (level + 1))])
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Replies of a bucket: for each chunk the corpus counts of what it asked for; tokens and types once, with no chunk."""
+    """Replies of a bucket: for each sender the corpus counts of what it asked for; tokens and types once, with no sender."""
     replies = {}
     for keys, counts in (("words", "uni"), ("pairs", "bi")):
-        asked = [unpack_sorted(b) for b in table[keys].to_pylist()]
-        kinds, place = np.unique(np.concatenate(asked), return_inverse=True)
-        own = np.concatenate([unpack(b) for b in table[counts].to_pylist()])
-        total = np.bincount(place, own, len(kinds)).astype(np.uint64)
-        ends = np.cumsum([len(a) for a in asked])
-        replies[counts] = [pack(part) for part in np.split(total[place], ends[:-1])]
+        kinds, place, ends = _asked(table, keys)
+        total = _summed(table, counts, place, len(kinds))
+        replies[counts] = [pack(part) for part in np.split(total[place], ends)]
         if keys == "words":
             real = kinds != START
             n_tokens, n_types = int(total[real].sum()), int((total[real] > 0).sum())
@@ -182,7 +229,7 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "bucket": pa.array([table["bucket"][0].as_py()] * (n + 1), pa.int64()),
-            "chunk": pa.array([*table["chunk"].to_pylist(), None], pa.string()),
+            "sender": pa.array([*table["sender"].to_pylist(), None], pa.string()),
             "uni": pa.array([*replies["uni"], b""], pa.binary()),
             "bi": pa.array([*replies["bi"], b""], pa.binary()),
             "n_tokens": pa.array([0] * n + [n_tokens], pa.int64()),
@@ -191,6 +238,39 @@ def _totals(table: pa.Table) -> pa.Table:
     )
 
 
+def _passed_back(asked: pa.Table, replies: pa.Table) -> pa.Table:
+    """Replies to those whose requests were taken together, from the replies to the whole."""
+    replies = replies.sort_by("bucket")
+    out = {}
+    for keys, counts in (("words", "uni"), ("pairs", "bi")):
+        _, place, ends = _asked(asked, keys)
+        total = np.concatenate([unpack(b) for b in replies[counts].to_pylist()])
+        out[counts] = pa.array([pack(part) for part in np.split(total[place], ends)], pa.binary())
+    return pa.table({"bucket": asked["bucket"], "sender": asked["sender"], **out})
+
+
+def _ask(packed: DataFrame, size: int) -> tuple[DataFrame, int, int]:
+    """(bucket, sender, uni, bi) replies for every chunk, and the numbers of tokens and types of the training texts."""
+    n, fan = rounds(size)
+    groups = max(1, math.ceil(size / CHUNK_BYTES / fan))
+
+    def merging(level: int):
+        return lambda table: _merged(table, level, fan)
+
+    asked = [packed.mapInArrow(lambda it: _requests(it, fan, groups), REQUEST)]
+    for level in range(1, n):
+        asked[-1] = stored(asked[-1], "lm-asked")
+        asked.append(asked[-1].groupBy("bucket", "grp").applyInArrow(merging(level), REQUEST))
+    replies = stored(asked.pop().groupBy("bucket").applyInArrow(_totals, f"{REPLY}, n_tokens long, n_types long"), "lm-replies")
+    tokens, types = (int(x or 0) for x in replies.agg(F.sum("n_tokens"), F.sum("n_types")).first())
+    replies = replies.filter("sender IS NOT NULL").select("bucket", "sender", "uni", "bi")
+    while asked:
+        level = asked.pop().withColumn("node", F.concat_ws("-", "bucket", "grp"))
+        nodes = replies.withColumnRenamed("sender", "node")
+        replies = level.groupBy("node").cogroup(nodes.groupBy("node")).applyInArrow(_passed_back, REPLY)
+    return replies, tokens, types
+
+
 def _counts(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """Corpus counts of each token, of its context and of the two together."""
     chunk = Chunk(row)
@@ -261,21 +341,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs without white space, A-Z lower-cased, with one end token per text; texts whose id has CRC-32
     remainder 0 (and those without an id) are not learned from. Null texts are empty ones: an end token alone. Repeated
     rows count as often as they stand; an empty table gives no rows. ``base_score`` is the unigram model with 0.1 added.
+    EM sees the counts in cells a quarter of an octave wide (``STEPS``), which moves a score by less than 1 % of itself. Words and bigrams
+    are told apart by 55 and 56 bits of hash: a billion types have about a dozen pairs that are taken for one.
     """
     size = docs.agg(F.sum(F.octet_length(whole_text(text_col)) + 8)).first()[0] or 0
-    # A word takes six bytes or so, and about one token in 1.3 is another bigram of its chunk.
-    buckets = max(1, round(size / 6 / 1.3 / BUCKET_HASHES))
     packed = chunks(docs, id_col, text_col, folds)
-    asked = packed.mapInArrow(
-        lambda it: _requests(it, buckets), "bucket long, chunk string, words binary, uni binary, pairs binary, bi binary"
-    )
-    replies = asked.groupBy("bucket").applyInArrow(
-        _totals, "bucket long, chunk string, uni binary, bi binary, n_tokens long, n_types long"
-    )
-    replies = stored(replies, "lm-replies")
-    n, v = (int(x or 0) for x in replies.agg(F.sum("n_tokens"), F.sum("n_types")).first())
-    # A chunk gets one reply per bucket.
-    per_chunk = replies.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "uni", "bi")).alias("replies"))
+    replies, n, v = _ask(packed, size)
+    # A chunk gets one reply per range of the first round.
+    per_chunk = replies.groupBy(F.col("sender").alias("chunk")).agg(F.collect_list(F.struct("bucket", "uni", "bi")).alias("replies"))
     counted = stored(packed.join(per_chunk, "chunk"), "lm-counted")
 
     cells = counted.mapInArrow(lambda it: _cells(it, n, v), "cell long, n double, ratio2 double, ratio1 double")

@@ -39,8 +39,13 @@ def plain(data):
     return uni, pairs, context
 
 
-def test_counts_weights_and_scores_equal_plain_ones(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "BUCKET_HASHES", 3000)
+@pytest.mark.parametrize("fan,hashes,want", [(64, 3000, 1), (4, 3000, 2), (2, 4000, 3)])
+def test_counts_weights_and_scores_equal_plain_ones(spark, monkeypatch, fan, hashes, want):
+    """Whatever the rounds by which chunks reach the buckets."""
+    monkeypatch.setattr(lm_score, "BUCKET_HASHES", hashes)
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    assert lm_score.rounds(sum(len((t or "").encode()) + 8 for _, t in rows()))[0] == want
     data = rows()
     uni, pairs, context = plain(data)
     n, v = sum(uni.values()), len(uni)
@@ -77,3 +82,14 @@ def test_packing():
 
 def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_sent_grow_with_the_corpus():
+    """Requests a chunk sends and nodes receive, at sizes from 1 GB to 1 PB: the fan and the rounds bound them."""
+    for power in range(30, 51):
+        n, fan = lm_score.rounds(1 << power)
+        buckets = (1 << power) / 7.8 / lm_score.BUCKET_HASHES
+        assert fan <= lm_score.FAN and fan**n >= 0.99 * buckets
+        assert n <= 1 + math.log(max(buckets, 1)) / math.log(lm_score.FAN)
+        # The last round takes one row of each group of the round before.
+        assert (1 << power) / lm_score.CHUNK_BYTES / fan ** (n - 1) <= 4 * lm_score.FAN

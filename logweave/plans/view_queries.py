@@ -634,7 +634,12 @@ def j02(spark, sf_dir):
         CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'RemoteApp' END AS source FROM ev""",
 )
 def j03(spark, sf_dir):
-    ev = r.events(spark, sf_dir)
+    entries = live_events.read_structured(_structured(r.events(spark, sf_dir)))
+    return entries.select("event_id", "timestamp", "level", "thread", "logger", "message", "source")
+
+
+def _structured(ev):
+    """Events as structured events (event_id, family, payload), a family in turn."""
     app = F.struct(F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise("").alias("application"))
     boom = F.when(F.col("lvl") == "ERROR", "Boom\nat shop")
     common = [F.col("lvl").alias("level"), F.col("thr").alias("threadName"), F.col("log").alias("loggerName")]
@@ -647,8 +652,35 @@ def j03(spark, sf_dir):
     n = F.col("event_id") % 3
     payload = F.when(n == 0, payloads[0]).when(n == 1, payloads[1]).otherwise(payloads[2])
     family = F.when(n == 0, "logback").when(n == 1, "log4j1").otherwise("log4j2")
-    entries = live_events.read_structured(ev.select("event_id", family.alias("family"), payload.alias("payload")))
-    return entries.select("event_id", "timestamp", "level", "thread", "logger", "message", "source")
+    return ev.select("event_id", family.alias("family"), payload.alias("payload"))
+
+
+@query(
+    "j03_structured_rejects",
+    f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{live_events.UNKNOWN_FAMILY}' WHEN 1 THEN '{live_events.NO_JSON}'
+        ELSE '{live_events.NO_MESSAGE}' END AS reason FROM events WHERE event_id % 5 < 3""",
+)
+def j03_rejects(spark, sf_dir):
+    """Of five events one is of an unknown family, one is cut off and one has no message."""
+    kind = F.col("event_id") % 5
+    ev = r.events(spark, sf_dir).withColumn("msg", F.when(kind != 2, F.col("msg")))
+    cut = F.substr("payload", F.lit(1), F.length("payload") - 5)
+    damaged = _structured(ev).withColumns(
+        {"family": F.when(kind == 0, "other").otherwise(F.col("family")), "payload": F.when(kind == 1, cut).otherwise(F.col("payload"))}
+    )
+    return live_events.tagged_structured(damaged).filter("reason IS NOT NULL").select("event_id", "reason")
+
+
+@query(
+    "j02_xml_rejects",
+    f"""WITH {EVENTS} SELECT '10.0.0.9:' || user_id AS remote, event_id * 8 + CASE WHEN lvl = 'ERROR' THEN 4 ELSE 3 END AS seq,
+        '{live_events.NO_EVENT}' AS reason FROM ev WHERE event_id % 4 = 0""",
+)
+def j02_rejects(spark, sf_dir):
+    """Every fourth event lacks the line with its opening tag."""
+    lines = xml_lines(spark, sf_dir).filter("seq % 32 <> 0")
+    tagged = live_events.tagged_xml(live_events.frame_xml(lines, chunk_bits=20))
+    return tagged.filter("reason IS NOT NULL").select("remote", "seq", "reason")
 
 
 _SESSIONS = """

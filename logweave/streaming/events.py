@@ -16,6 +16,10 @@ _XML_TAG = r"""(?s)<log4j:event((?:\s+[\w:.\-]+\s*=\s*"[^"]*")*)\s*>"""
 _XML_MESSAGE = r"(?s)<log4j:message><!\[CDATA\[(.*?)\]\]></log4j:message>"
 _XML_THROWABLE = r"(?s)<log4j:throwable><!\[CDATA\[(.*?)\]\]></log4j:throwable>"
 
+# Why an event cannot be read.
+NO_EVENT = "no event in the frame"
+UNKNOWN_FAMILY, NO_JSON, NO_MESSAGE = "unknown family", "the payload is no JSON", "the payload has no message"
+
 # Field names of the three structured event families.
 FAMILIES = {
     "logback": "struct<timeStamp:bigint,level:string,threadName:string,loggerName:string,"
@@ -49,20 +53,18 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"""\s{name}\s*=\s*"([^"]*)\"""", 1)
 
 
-def read_xml(frames: DataFrame, zone: str = "UTC") -> DataFrame:
-    """XML frames to entries: typed attributes in any order, CDATA message, throwable appended.
+def tagged_xml(frames: DataFrame, zone: str = "UTC") -> DataFrame:
+    """What :func:`read_xml` gives, and in the same pass, with a ``reason``, the frames and events that cannot be read.
 
-    A frame with several events gives several entries (``event`` counts them); one without any is dropped.
-    A time that is no number gives a null timestamp.
+    Their text is in ``raw``. Write the result once and split it by ``reason`` to keep both.
     """
     one = F.when(
         F.regexp_count("xml", F.lit(XML_END)) <= 1, F.when(F.regexp_like("xml", F.lit(_XML_TAG)), F.array("xml"))
     ).otherwise(F.regexp_extract_all("xml", F.lit(_XML_EVENT), F.lit(0)))
     rest = [c for c in frames.columns if c != "xml"]
     tagged = (
-        frames.select(*rest, F.posexplode(one).alias("event", "xml"))
-        .withColumn("_tag", F.regexp_extract("xml", _XML_TAG, 1))
-        .filter(F.col("_tag") != "")
+        frames.select(*rest, F.col("xml").alias("_frame"), F.posexplode_outer(one).alias("event", "xml"))
+        .withColumn("_tag", F.coalesce(F.regexp_extract("xml", _XML_TAG, 1), F.lit("")))
     )
     throwable = F.regexp_extract("xml", _XML_THROWABLE, 1)
     message = F.regexp_extract("xml", _XML_MESSAGE, 1)
@@ -74,15 +76,28 @@ def read_xml(frames: DataFrame, zone: str = "UTC") -> DataFrame:
         *[_attribute(F.col("_tag"), a).alias(a) for a in ("level", "thread", "logger")],
         F.when(has_throwable, F.concat(message, F.lit("\n"), throwable)).otherwise(message).alias("message"),
         F.lit(REMOTE_APP).alias("source"),
-        F.col("xml").alias("raw"),
+        F.coalesce("xml", "_frame").alias("raw"),
+        F.when(F.col("_tag") == "", NO_EVENT).alias("reason"),
     )
 
 
-def read_structured(events: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Structured events (family, payload JSON) to entries; unknown families and broken payloads are dropped.
+def read_xml(frames: DataFrame, zone: str = "UTC") -> DataFrame:
+    """XML frames to entries: typed attributes in any order, CDATA message, throwable appended.
 
-    The ``application`` context property names the source, else ``RemoteApp``; a throwable is appended to
-    the message.
+    A frame with several events gives several entries (``event`` counts them); one without any is left out, see
+    :func:`tagged_xml`. A time that is no number gives a null timestamp.
+    """
+    return _read(tagged_xml(frames, zone))
+
+
+def _read(tagged: DataFrame) -> DataFrame:
+    return tagged.filter(F.col("reason").isNull()).drop("reason")
+
+
+def tagged_structured(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """What :func:`read_structured` gives, and in the same pass, with a ``reason``, the events that cannot be read.
+
+    Their payload is in ``raw``.
     """
     parsed = events
     for family, schema in FAMILIES.items():
@@ -97,8 +112,11 @@ def read_structured(events: DataFrame, zone: str = "UTC") -> DataFrame:
     whole = F.concat(message, F.coalesce(F.concat(F.lit("\n"), thrown), F.lit("")))
     app = F.coalesce(a["mdc"]["application"], b["mdc"]["application"], c["contextData"]["application"])
     millis = F.coalesce(a["timeStamp"], b["timeStamp"], c["timeMillis"])
-    rest = [x for x in events.columns if x not in ("payload", "level", "thread", "logger", "message", "source", "raw")]
-    return parsed.filter(message.isNotNull()).select(
+    rest = [x for x in events.columns if x not in ("payload", "level", "thread", "logger", "message", "source", "raw", "reason")]
+    known = F.coalesce(F.col("family").isin(*FAMILIES), F.lit(False))
+    is_json = F.get_json_object("payload", "$").isNotNull()
+    reason = F.when(~known, UNKNOWN_FAMILY).when(~is_json, NO_JSON).otherwise(NO_MESSAGE)
+    return parsed.select(
         *rest,
         from_epoch_millis(millis, zone).alias("timestamp"),
         either("level").alias("level"),
@@ -106,5 +124,16 @@ def read_structured(events: DataFrame, zone: str = "UTC") -> DataFrame:
         either("loggerName").alias("logger"),
         whole.alias("message"),
         F.when(app != "", app).otherwise(REMOTE_APP).alias("source"),
-        whole.alias("raw"),
+        F.coalesce(whole, F.col("payload")).alias("raw"),
+        F.when(message.isNull(), reason).alias("reason"),
     )
+
+
+def read_structured(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Structured events (family, payload JSON) to entries; unknown families and broken payloads are left out, see
+    :func:`tagged_structured`.
+
+    The ``application`` context property names the source, else ``RemoteApp``; a throwable is appended to
+    the message.
+    """
+    return _read(tagged_structured(events, zone))

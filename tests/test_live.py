@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.schema import DISCONNECT, as_entries
-from logweave.streaming import live, ordered, tables
+from logweave.streaming import events, live, ordered, tables
 from logweave.streaming.events import frame_xml, read_structured, read_xml
 from logweave.streaming.sessions import route_batch, route_with_idle
 
@@ -112,6 +112,28 @@ def test_structured_events(spark):
     assert str(berlin.first().timestamp) == "1970-01-01 01:00:01"
 
 
+def test_what_cannot_be_read_has_a_reason(spark):
+    rows = [
+        (1, "logback", '{"formattedMessage": "ok"}'), (2, "log4j9", "{}"), (3, None, '{"message": "x"}'), (4, "log4j2", None),
+        (5, "log4j2", '{"message": "cut'), (6, "log4j1", '{"message": "of another family"}'), (7, "log4j1", ""),
+    ]
+    df = spark.createDataFrame(rows, "id int, family string, payload string")
+    tagged = {r.id: (r.reason, r.raw) for r in events.tagged_structured(df).collect()}
+    no_json, unknown = events.NO_JSON, events.UNKNOWN_FAMILY
+    reasons = [None, unknown, unknown, no_json, no_json, events.NO_MESSAGE, no_json]
+    assert [tagged[i + 1][0] for i in range(7)] == reasons
+    assert [tagged[i][1] for i in (1, 2, 5)] == ["ok", "{}", '{"message": "cut']
+    assert [r.id for r in read_structured(df).collect()] == [1]
+
+    good, end = '<log4j:event level="INFO"><log4j:message><![CDATA[m]]></log4j:message>', "</log4j:event>"
+    frames = [("a", good + end), ("b", "no tag " + end), ("c", None), ("d", good + end + good + end), ("e", f"{end}{end}")]
+    df = spark.createDataFrame(frames, "remote string, xml string")
+    tagged = events.tagged_xml(df).collect()
+    assert {r.remote: r.raw for r in tagged if r.reason} == {"b": frames[1][1], "c": None, "e": frames[4][1]}
+    assert sorted((r.remote, r.reason is None) for r in tagged) == [("a", True), ("b", False), ("c", False), ("d", True), ("d", True), ("e", False)]
+    assert sorted(r.remote for r in read_xml(df).collect()) == ["a", "d", "d"]
+
+
 def test_running_facets(spark):
     rows = [("INFO", "a.t1", "x.L", "ip", "m", "s")] * 3 + [("WARN", "t2(z)", "x.L", "", "m", "s")]
     schema = "level string, thread string, logger string, ip string, message string, source string"

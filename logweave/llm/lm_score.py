@@ -252,7 +252,7 @@ def _passed_back(asked: pa.Table, replies: pa.Table) -> pa.Table:
 def _ask(packed: DataFrame, size: int) -> tuple[DataFrame, int, int]:
     """(bucket, sender, uni, bi) replies for every chunk, and the numbers of tokens and types of the training texts."""
     n, fan = rounds(size)
-    groups = max(1, math.ceil(size / CHUNK_BYTES / fan))
+    groups = max(1, math.ceil(packed.count() / fan)) if n > 1 else 1  # the last round has one group
 
     def merging(level: int):
         return lambda table: _merged(table, level, fan)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.plans import rendering as r
+from logweave.plans.load import stored
 from logweave.plans.queries import EVENTS, query
 from logweave.plans.view_queries import drain, xml_lines
 from logweave.schema import DISCONNECT, REMOTE_APP
@@ -16,25 +17,34 @@ IDLE = 12 * 3600
 DELAY = 2 * 86400
 BATCHES = 6
 TAIL = 50
+# Groups that the connections of a stream keep their state in.
+BUCKETS = 256
+# Rows of a file that a micro-batch of late events is made of.
+FILE_ROWS = 250_000
 
 
-def delivered(rows: DataFrame, name: str, end: DataFrame) -> DataFrame:
+def delivered(rows: DataFrame, name: str, end: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     """A stream of ``rows`` in ``BATCHES`` micro-batches, each row late by up to ``DELAY`` seconds; ``end`` comes last.
 
-    Late by a hash of the row, so that neighbours in time arrive in different micro-batches and out of order.
+    Late by a hash of the row, so that neighbours in time arrive in different micro-batches and out of order. The rows are made
+    once and kept; a micro-batch is the same number of files each time, written by as many tasks.
     """
     spark = rows.sparkSession
     seconds = F.unix_seconds("ts")
-    late = rows.withColumn("arrival", seconds + F.pmod(F.xxhash64("remote", "seq"), F.lit(DELAY - 1)))
-    first, last = late.agg(F.min("arrival"), F.max("arrival")).first()
+    late = stored(rows.withColumn("arrival", seconds + F.pmod(F.xxhash64("remote", "seq"), F.lit(DELAY - 1))), f"{name}-rows")
+    first, last, n = late.agg(F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
     first, last = first or 0, last or 0
     turn = F.floor((F.col("arrival") - first) * BATCHES / F.lit(last - first + 1))
+    files = n // (BATCHES * file_rows) + 1
     path = scratch_path(spark, name)
     for k in range(BATCHES):
         part = late.filter(turn == k).drop("arrival")
         part = part.unionByName(end) if k == BATCHES - 1 else part
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+        # A task without rows writes no file; an empty one stands in for it, so that no micro-batch takes files of the next.
+        for _ in range(files * (k + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def closing(rows: DataFrame) -> DataFrame:
@@ -78,7 +88,7 @@ def j04_idle(spark, sf_dir):
 def j04_idle_stream(spark, sf_dir):
     live.use_rocksdb(spark)
     rows = _connections(spark, sf_dir)
-    return drain(ordered.route_in_order(delivered(rows, "j04-late", closing(rows)), IDLE, DELAY), "j04-idle")
+    return drain(ordered.route_in_order(delivered(rows, "j04-late", closing(rows)), IDLE, DELAY, buckets=BUCKETS), "j04-idle")
 
 
 _FRAMES = """
@@ -95,7 +105,7 @@ def j01_in_order(spark, sf_dir):
     times = r.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ordered.instant("ts").alias("ts"))
     lines = xml_lines(spark, sf_dir).withColumn("id", F.floor(F.col("seq") / 8))
     lines = lines.join(times, "id").drop("id")
-    stream = ordered.frame_in_order(delivered(lines, "j01-late", closing(lines)), IDLE, DELAY)
+    stream = ordered.frame_in_order(delivered(lines, "j01-late", closing(lines)), IDLE, DELAY, buckets=BUCKETS)
     return drain(stream, "j01-ordered").select("remote", "xml")
 
 

@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.plans import live_queries
 from logweave.schema import DISCONNECT, as_entries
 from logweave.streaming import events, live, ordered, tables
 from logweave.streaming.events import frame_xml, read_structured, read_xml
@@ -258,6 +259,36 @@ def test_frames_of_lines_out_of_order(spark, tmp_path):
     assert got == {tuple(x) for x in frame_xml(spark.createDataFrame(XML_ROWS, XML_SCHEMA)).collect()}
 
 
+def test_connections_share_the_state_of_a_bucket(spark, tmp_path):
+    """Many connections, also one without a name, in few groups: the rows of the plain routes, and a state of few keys."""
+    live.use_rocksdb(spark)
+    rows = [(f"{x[0]}{c}" if c else None, *x[1:]) for c in range(20) for _, x in idle_rows() if c or x[0] == "p"]
+    rows.sort(key=lambda x: (x[-1].timestamp() // 25, str(x[0]), -x[1]))
+    end = [("end", 0, DISCONNECT, None, None, None, at(100_000))]
+    for part in (rows[0::2], rows[1::2], end):
+        spark.createDataFrame(part, IDLE_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(IDLE_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = ordered.route_in_order(stream, idle_seconds=60, delay_seconds=50_000, buckets=3)
+    live.append_to(out, f"{tmp_path}/out", f"{tmp_path}/offsets", available_now=True).awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    want = plain_routes([(x[0] or "", *x[1:]) for x in rows], 60)
+    assert sorted((x.remote or "", x.seq, x.view) for x in got) == want
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/offsets")
+    assert waiting.select("key").distinct().count() <= 3
+
+
+def test_micro_batches_of_several_files(spark):
+    """Each micro-batch takes the same number of files, also where a part of the events is too small to fill them."""
+    rows = spark.createDataFrame([(f"r{k % 7}", k, at(k * k * 50)) for k in range(300)], "remote string, seq long, ts timestamp")
+    end = spark.createDataFrame([("end", 0, at(10_000_000))], rows.schema)
+    stream = live_queries.delivered(rows, "late", end, file_rows=10)
+    path = live_queries.scratch_path(spark, "copy")
+    batches = []
+    run = stream.writeStream.foreachBatch(lambda df, k: batches.append(sorted(r.seq for r in df.collect())))
+    run.option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == live_queries.BATCHES and sorted(x for b in batches for x in b) == sorted([*range(300), 0])
+
+
 def test_state_has_a_time_to_live(spark, tmp_path):
     """A connection that was silent for the time to live is forgotten: its next event opens a view anew."""
     live.use_rocksdb(spark)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from logweave.session import small_side
 
 BLOCK_ROWS = 1_000_000
+# Rows that a task writes where blocks are smaller; tasks report to the driver, and small blocks must not be a task each.
+TASK_ROWS = 100_000
 # Places a trigram can have in a block's index, and the part of them that one bitmap of Spark's aggregate holds.
 PLACE_BITS = 20
 BITMAP_BITS = 15
@@ -45,12 +47,18 @@ def store_searchable(
     """Write entries in blocks of about ``block_rows`` rows along ``order``, and the trigram index of the ``text`` columns.
 
     The index takes at most ``2 ** PLACE_BITS`` bits a block. Distinct trigrams are gathered in the map tasks, which read
-    one block each, so little is shuffled. Null texts count as empty; an empty table gives an empty index.
+    whole blocks, so little is shuffled. Null texts count as empty; an empty table gives an empty index.
     """
     if BLOCK in entries.columns:
         raise ValueError(f"column {BLOCK} is taken")
-    blocks = entries.count() // block_rows + 1
-    placed = entries.repartitionByRange(blocks, *order).withColumn(BLOCK, F.spark_partition_id())
+    rows = entries.count()
+    blocks = rows // block_rows + 1
+    ranges = min(blocks, rows // TASK_ROWS + 1)
+    # A range that stands for several blocks is cut by the place of a row in it.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    inside = F.floor(place / F.lit(-(-rows // blocks))) if ranges < blocks else F.lit(0)
+    block = F.shiftleft(F.spark_partition_id().cast("long"), 32) + inside
+    placed = entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(BLOCK, block)
     placed.sortWithinPartitions(BLOCK, *order).write.partitionBy(BLOCK).parquet(f"{path}/entries")
     # An empty table leaves no file in its folders to tell the columns.
     placed.filter(F.lit(False)).write.parquet(f"{path}/columns")

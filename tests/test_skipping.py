@@ -62,3 +62,16 @@ def test_empty_table_and_taken_name(spark):
     assert skipping.searchable(spark, path, "needle").count() == 0
     with pytest.raises(ValueError):
         skipping.store_searchable(entries.withColumn(skipping.BLOCK, F.lit(1)), path + "x", [F.col("message")], ["k"])
+
+
+def test_tasks_hold_many_small_blocks(spark, monkeypatch):
+    """Blocks of a few rows are not a task each; they follow the order, hold about as many rows as asked and all rows."""
+    monkeypatch.setattr(skipping, "TASK_ROWS", 500)
+    _, path = store(spark, [((k * 7919) % 2000, f"entry {k}", "v") for k in range(2000)], block_rows=20)
+    kept = spark.read.parquet(f"{path}/entries")
+    blocks = kept.groupBy(skipping.BLOCK).agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
+    blocks = sorted(blocks.collect(), key=lambda b: b[skipping.BLOCK])
+    assert sum(b.n for b in blocks) == 2000 and max(b.n for b in blocks) <= 20 and 100 <= len(blocks) <= 110
+    assert all(a.high < b.low for a, b in zip(blocks, blocks[1:]))
+    # Written by few tasks: the upper half of a block's number is its task.
+    assert len({b[skipping.BLOCK] >> 32 for b in blocks}) <= 5

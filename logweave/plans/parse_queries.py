@@ -119,8 +119,19 @@ def _zip_of(doc_id: int, text: str, lang: str) -> bytes:
     return outer.getvalue()
 
 
-def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Archives that a Python worker makes at once.
+ARCHIVES = 200
+
+
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, so few at once that what is made of them stays small."""
     for b in batches:
+        for k in range(0, len(b), ARCHIVES):
+            yield b.iloc[k : k + ARCHIVES]
+
+
+def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _few(batches):
         content = [_zip_of(i, t, g) for i, t, g in zip(b["doc_id"], b["text"], b["lang"])]
         yield pd.DataFrame({"path": b["doc_id"].map("doc-{}.zip".format), "content": content})
 
@@ -215,7 +226,7 @@ def a09(spark, sf_dir):
 )
 def a10(spark, sf_dir):
     def damaged(batches):
-        for b in batches:
+        for b in _few(batches):
             content = [
                 _zip_of(i, t, g) if g == "en" else t.encode() for i, t, g in zip(b["doc_id"], b["text"], b["lang"])
             ]

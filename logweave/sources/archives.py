@@ -28,6 +28,7 @@ MEMBER_SCHEMA = T.StructType(
 )
 
 BATCH_LINES = 10_000
+BATCH_CHARS = 4 << 20
 # Unpacked bytes of neighbouring members that are read in one go.
 SLICE_BYTES = 64 << 20
 _UNREADABLE = (OSError, EOFError, ValueError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError)
@@ -90,25 +91,38 @@ def _members(name: str, stream, where: str = "") -> Iterator[tuple[str, str, obj
         yield where or name, name, stream
 
 
-def _member_lines(path: str, members: Iterator[tuple[str, str, object]]) -> Iterator[pd.DataFrame]:
-    """Line batches of members of the archive ``path``."""
-    rows: list[tuple] = []
+def _member_rows(path: str, members: Iterator[tuple[str, str, object]]) -> Iterator[tuple]:
+    """Lines of members of the archive ``path``, as rows."""
     line_id = 0
     try:
         for place, member, text in members:
             if text is None:
-                rows.append((f"{path}!{place}", None, line_id, None, "7z is not supported"))
+                yield f"{path}!{place}", None, line_id, None, "7z is not supported"
                 continue
             for line in _text_lines(text):
-                rows.append((f"{path}!{place}", member, line_id, line, None))
+                yield f"{path}!{place}", member, line_id, line, None
                 line_id += 1
-                if len(rows) >= BATCH_LINES:
-                    yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
-                    rows = []
     except _UNREADABLE as e:
-        rows.append((path, None, line_id, None, f"{type(e).__name__}: {e}"))
-    if rows:
-        yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.names)
+        yield path, None, line_id, None, f"{type(e).__name__}: {e}"
+
+
+def _framed(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows in batches of at most ``BATCH_LINES`` lines and about ``BATCH_CHARS`` characters, whatever archives they are from."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3] or "")
+        if len(held) >= BATCH_LINES or size >= BATCH_CHARS:
+            yield pd.DataFrame(held, columns=MEMBER_SCHEMA.names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=MEMBER_SCHEMA.names)
+
+
+def _member_lines(path: str, members: Iterator[tuple[str, str, object]]) -> Iterator[pd.DataFrame]:
+    """Line batches of members of the archive ``path``."""
+    return _framed(_member_rows(path, members))
 
 
 def explode_archives(archives: DataFrame) -> DataFrame:
@@ -120,9 +134,8 @@ def explode_archives(archives: DataFrame) -> DataFrame:
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _member_lines(path, _members(path, io.BytesIO(content)))
+        archived = ((path, content) for batch in batches for path, content in zip(batch["path"], batch["content"]))
+        return _framed(row for path, content in archived for row in _member_rows(path, _members(path, io.BytesIO(content))))
 
     return archives.select("path", "content").mapInPandas(explode, MEMBER_SCHEMA)
 

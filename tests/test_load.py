@@ -205,3 +205,14 @@ def test_searches_see_entries_not_parts(spark, lines_of):
         seen.append((counts, step.raw.split("\n")[0], again, views.view, newest, tail, search.count_matches(entries, rare, by=None).first()[0]))
     assert seen[0] == seen[1]
     assert seen[0][0] == {"word": [("app.log", 1), ("b.log", 1)], "rare": [("app.log", 1), ("b.log", 1)]} and seen[0][6] == 2
+
+
+def test_lines_of_many_archives_share_batches():
+    """Small archives are not a batch each, long lines do not make a large one, and each archive counts its own lines."""
+    from logweave.sources import archives
+
+    rows = [(f"{k}.zip", iter([("a.log", "a.log", io.BytesIO(b"x\ny\n")), ("b.7z", "b.7z", None)])) for k in range(50)]
+    frames = list(archives._framed(row for path, members in rows for row in archives._member_rows(path, members)))
+    assert len(frames) == 1 and frames[0]["line_id"].tolist() == [0, 1, 2] * 50
+    long = [("a", "a", k, "x" * (1 << 20), None) for k in range(20)]
+    assert [len(f) for f in archives._framed(iter(long))] == [4] * 5

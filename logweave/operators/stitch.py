@@ -104,9 +104,16 @@ def stitch(
             "head": F.first("line").over(growing.rowsBetween(Window.unboundedPreceding, 0)),
         }
     ).drop("size", "line")
+    # The owners of a chunk's pieces side by side: the join is by chunk, as the pieces lie, and their text is not shuffled for it.
+    found = F.struct("owner", "source_head", "part", "head")
+    sides = owners.groupBy(*_CHUNK).agg(
+        F.min(F.when(F.col("tail"), found)).alias("of_tail"), F.min(F.when(~F.col("tail"), found)).alias("of_rest")
+    )
 
     crossing = (
-        pieces.join(owners, [*_CHUNK, "tail"])
+        pieces.join(sides, list(_CHUNK))
+        .withColumn("found", F.when(F.col("tail"), F.col("of_tail")).otherwise(F.col("of_rest")))
+        .select(*pieces.columns, "found.*")
         .withColumn("headed", F.col("owner").isNotNull())
         .withColumn("key", F.coalesce("owner", "source_head"))
         .groupBy("source_path", "key", "headed", "part", *keep)

@@ -32,6 +32,8 @@ SCHEMA = f"{LINES}, reason string"
 POSITION_BITS = 22
 # Bytes of a plain file that one task reads, bytes read at once, bytes of one step back to the start of a line.
 RANGE_BYTES = 128 << 20
+# Tasks of a scan or a micro-batch before small ranges share one.
+TASKS = 512
 READ_BYTES = 1 << 20
 BACK_BYTES = 1 << 16
 SHORTER = "the file became shorter than what was read of it; it is read anew"
@@ -58,6 +60,30 @@ class Range(InputPartition):
     anew: bool = False
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    parts: list[Range]
+
+
+def shared(parts: list[Range]) -> list[Ranges]:
+    """Ranges dealt to tasks: one each up to ``TASKS``, beyond that neighbours share a task as long as it has no more than
+    ``RANGE_BYTES`` to read. So small ranges of much text do not make a task, and a file of a checkpoint, each."""
+    most = min(max(sum(p.high - p.low for p in parts) // TASKS, 1), RANGE_BYTES) if len(parts) > TASKS else 0
+    out: list[Ranges] = []
+    room = 0
+    for part in parts:
+        size = part.high - part.low
+        if out and size <= room:
+            out[-1].parts.append(part)
+            room -= size
+        else:
+            out.append(Ranges([part]))
+            room = most - size
+    return out
+
+
 def _is_zip(path: str) -> bool:
     return _ZIP_NAME.fullmatch(unquote(path.rsplit("/", 1)[-1])) is not None
 
@@ -255,13 +281,13 @@ class _Whole(DataSourceReader):
     def __init__(self, paths: list[str], size: int):
         self.paths, self.size = paths, size
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         found = sorted(listing(self.paths).items())
-        # Spark needs a range to read, also of nothing.
-        return [r for path, length in found for r in ranges(path, 0, length, self.size, closed=True)] or [Range("", 0, 0)]
+        # Spark needs a partition to read, also of nothing.
+        return shared([r for path, length in found for r in ranges(path, 0, length, self.size, closed=True)]) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return read_range(partition) if partition.path else iter(())
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return (batch for part in partition.parts for batch in read_range(part))
 
 
 class _Growing(DataSourceStreamReader):
@@ -276,7 +302,7 @@ class _Growing(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return dict(sorted(listing(self.paths).items()))
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         out = []
         for path, length in end.items():
             low = start.get(path, 0)
@@ -284,10 +310,10 @@ class _Growing(DataSourceStreamReader):
                 out += ranges(path, 0, length, self.size, anew=True)
             elif length > low and not (low and _is_zip(path)):
                 out += ranges(path, low, length, self.size)
-        return out
+        return shared(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return (batch for part in partition.parts for batch in read_range(part))
 
 
 def _options(spark: SparkSession, paths: str | Sequence[str], range_bytes: int) -> dict[str, str]:
@@ -305,8 +331,8 @@ def _options(spark: SparkSession, paths: str | Sequence[str], range_bytes: int)
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All lines of the plain, gzip and zip files at ``paths`` as they are now, with ``reason`` for what could not be read.
 
-    Paths are files or folders (one level, log names), may overlap and may be missing. A plain file is read by a task per ``range_bytes``;
-    a packed one by one task (:func:`logweave.plans.load.load_logs` splits those). ``line_id`` is the place of the line in the
+    Paths are files or folders (one level, log names), may overlap and may be missing. A plain file is read in ranges of ``range_bytes``, a task each up to ``TASKS``, beyond that small ranges share tasks;
+    a packed one is read by one task (:func:`logweave.plans.load.load_logs` splits those). ``line_id`` is the place of the line in the
     file, for gzip in the unpacked text, so reading again gives the same keys, and stitching with ``POSITION_BITS`` cuts chunks by bytes.
     ``base_date`` is the day of the file's modification in UTC. Of a damaged gzip file the text up to the damage is given.
     """

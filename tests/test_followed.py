@@ -140,3 +140,21 @@ def test_shorter_file_is_read_anew_and_reported(spark, tmp_path):
 @pytest.mark.parametrize("name,want", [("a.log.gz", "a.log"), ("a.gz", "a.gz"), ("a%20b.log", "a b.log"), ("x.txt.GZ", "x.txt")])
 def test_display_names(name, want):
     assert followed._source(f"file:///logs/{name}") == want
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """The tasks stay few however many ranges there are, each range is read once, and large ranges keep a task of their own."""
+    monkeypatch.setattr(followed, "TASKS", 10)
+    parts = [r for k in range(7) for r in followed.ranges(f"{k}.log", 0, 1000 + k, 16)]
+    dealt = followed.shared(parts)
+    assert [r for t in dealt for r in t.parts] == parts and len(dealt) <= 25
+    assert len(followed.shared(parts[:10])) == 10
+    large = [followed.Range("a", 0, followed.RANGE_BYTES)] * 30
+    assert [t.parts for t in followed.shared(large)] == [[r] for r in large]
+    folder = tmp_path / "in"
+    _folder(folder)
+    lines = [f"line {k}" for k in range(500)]
+    (folder / "long.log").write_text("\n".join(lines))
+    rows = followed.readable(followed.scan_lines(spark, str(folder), 16)).filter("source = 'long.log'")
+    assert rows.rdd.getNumPartitions() <= 25
+    assert [r.value for r in rows.orderBy("line_id").collect()] == lines

@@ -28,6 +28,10 @@ LEAF = 48
 BLOCK = 4096
 CHUNK = 1000
 TOGETHER = 16
+# Scores that are looked at in one go, bytes of questions handed on at once, and bytes of a row group of tables with long rows.
+CELLS = 1 << 18
+SENT_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 # Open ends of a window of scores.
 LOW, HIGH = -(1 << 62), 1 << 62
 # A squared length below this keeps every inner product in 64 bits; rows beyond take no part.
@@ -50,9 +54,13 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def products(a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
     """Exact inner products of all rows of ``a`` with all of ``b``; floating point where every sum is a whole number below 2**53."""
-    if longest < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    wide = _wide(longest)
+    return (a.astype(wide, copy=False) @ b.astype(wide, copy=False).T).astype(np.int64, copy=False)
+
+
+def _wide(longest: int) -> type:
+    """Number type in which inner products are exact."""
+    return np.float64 if longest < 1 << 53 else np.int64
 
 
 @dataclass
@@ -185,14 +193,48 @@ def fit(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, longest: int)
 def first_hits(
     scores: np.ndarray, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, row) of each anchor's first ``k`` allowed rows with a score in its window: highest score, then smallest id."""
-    q, x = np.nonzero(allowed & (scores >= low[:, None]) & (scores <= high[:, None]))
+    """(window, row) of each window's first ``k`` allowed rows with a score in it: highest score, then smallest id."""
+    inside = allowed & (scores >= low[:, None]) & (scores <= high[:, None])
+    if 0 < k < scores.shape[1]:
+        # Only rows that reach a window's k-th score are put in order.
+        inside &= scores >= np.partition(np.where(inside, scores, LOW), -k, axis=1)[:, -k, None]
+    q, x = np.nonzero(inside)
     order = np.lexsort((ids[x], -scores[q, x], q))
     q, x = q[order], x[order]
     place = np.arange(len(q)) - np.searchsorted(q, q, "left")
     return q[place < k], x[place < k]
 
 
+@dataclass
+class Windows:
+    """Windows of scores of some anchors: id, label and vector per anchor; per window its anchor's place, low and high."""
+
+    anchor: np.ndarray
+    label: np.ndarray
+    v: np.ndarray
+    slot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def hits(
+        self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, k: int, same_label: bool, longest: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, row, score) of each window's first ``k`` of the rows, by ``CELLS`` scores at once: memory does not grow with
+        windows times rows."""
+        vectors = vectors.astype(_wide(longest), copy=False)
+        step = max(1, CELLS // max(1, len(ids)))
+        found = [(np.zeros(0, np.int64),) * 3]
+        for i in range(0, len(self.slot), step):
+            mine, at = np.unique(self.slot[i : i + step], return_inverse=True)
+            scores = products(self.v[mine], vectors, longest)
+            allowed = (self.label[mine, None] == labels[None, :]) == same_label
+            allowed &= self.anchor[mine, None] != ids[None, :]
+            scores = scores[at]
+            q, x = first_hits(scores, allowed[at], self.low[i : i + step], self.high[i : i + step], ids, k)
+            found.append((q + i, x, scores[q, x]))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def usable(vectors: DataFrame, relabel_every: int = 7, labels: int = 10) -> DataFrame:
     """(vec_id, label, v) of the rows that take part: whole-number vectors ``floor(256 * x)``."""
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
@@ -241,7 +283,7 @@ def _blocks(rows: DataFrame, sent) -> DataFrame:
         # Ranges of (leaf, id) cut a leaf of any size over tasks; rows of a block are in the order of their ids.
         placed = placed.repartitionByRange("leaf", "vec_id").sortWithinPartitions("leaf", "vec_id")
         shape = "leaf int, ids binary, labels binary, vectors binary, low array<double>, high array<double>"
-        return stored(placed.mapInArrow(pack, shape), "gnat-blocks")
+        return stored(placed.mapInArrow(pack, shape), "gnat-blocks", GROUP_BYTES)
 
 
 def _search(blocks: DataFrame, parts: DataFrame, queries: DataFrame, sent, k: int, same_label: bool) -> DataFrame:
@@ -256,46 +298,57 @@ def _search(blocks: DataFrame, parts: DataFrame, queries: DataFrame, sent, k: in
         for batch in batches:
             q = matrix(batch["v"], tree.dim)
             anchor, no, label, low, high = (np.asarray(batch[c]).astype(np.int64) for c in ("anchor_id", "no", "label", "low", "high"))
-            scores = products(q, tree.vectors, tree.longest)
-            allowed = (label[:, None] == tree.labels[None, :]) == same_label
-            allowed &= anchor[:, None] != tree.ids[None, :]
-            a, x = first_hits(scores, allowed, low, high, tree.ids, k)
+            # Windows of one anchor share its vector, here and in what is sent.
+            anchors, one, slot = np.unique(anchor, return_index=True, return_inverse=True)
+            vectors = q[one]
+            asked = Windows(anchors, label[one], vectors, slot, low, high)
+            a, _, score = asked.hits(tree.ids, tree.labels, tree.vectors, k, same_label, tree.longest)
             full = np.bincount(a, minlength=len(q)) == k
             last = np.full(len(q), HIGH)
-            np.minimum.at(last, a, scores[a, x])
+            np.minimum.at(last, a, score)
             low = np.where(full, last, low)
-            made = []
+            made, size = [], 0
             for leaf, rows in tree.leaves(q, low, high):
-                columns = (anchor[rows], no[rows], label[rows], low[rows], high[rows], q[rows].astype(tree.kind))
+                mine, place = np.unique(slot[rows], return_inverse=True)
+                columns = (anchors[mine], label[one[mine]], vectors[mine].astype(tree.kind))
+                columns += (place.astype(np.int32), no[rows], low[rows], high[rows])
                 made.append((leaf, *(c.tobytes() for c in columns)))
-            columns = list(zip(*made)) or [[]] * 7
-            kinds = [pa.int32(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f"q{i}" for i in range(7)])
+                size += sum(map(len, made[-1][1:]))
+                if size >= SENT_BYTES:
+                    yield questions(made)
+                    made, size = [], 0
+            if made:
+                yield questions(made)
+
+    def questions(made: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), *[pa.binary()] * 7]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], [f"q{i}" for i in range(8)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
+            # Row by row: the numbers of one joined row at a time are taken out of the batch.
+            for n in range(batch.num_rows):
+                row = {c: batch[c][n].as_buffer() for c in ("ids", "labels", "vectors", *(f"q{i}" for i in range(1, 8)))}
                 ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
                 x = np.frombuffer(row["vectors"], tree.kind).reshape(-1, tree.dim)
-                anchor, no, label, low, high = (np.frombuffer(row[f"q{i}"], np.int64) for i in range(1, 6))
-                q = np.frombuffer(row["q6"], tree.kind).reshape(-1, tree.dim)
-                scores = products(q, x, tree.longest)
-                allowed = (label[:, None] == labels[None, :]) == same_label
-                allowed &= anchor[:, None] != ids[None, :]
-                a, r = first_hits(scores, allowed, low, high, ids, k)
-                columns = [anchor[a], no[a], ids[r], scores[a, r]]
+                anchor, label, no, low, high = (np.frombuffer(row[f"q{i}"], np.int64) for i in (1, 2, 5, 6, 7))
+                v, slot = np.frombuffer(row["q3"], tree.kind).reshape(-1, tree.dim), np.frombuffer(row["q4"], np.int32)
+                a, r, score = Windows(anchor, label, v, slot, low, high).hits(ids, labels, x, k, same_label, tree.longest)
+                columns = [anchor[slot[a]], no[a], ids[r], score]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor_id", "no", "vec_id", "score"])
 
     spark = queries.sparkSession
     with handed_in_batches(spark, CHUNK):
         asked = queries.select("anchor_id", "no", "label", "v", "low", "high")
-        asked = stored(asked.mapInArrow(ask, "q0 int, " + ", ".join(f"q{i} binary" for i in range(1, 7))), "gnat-asked")
+        asked = asked.mapInArrow(ask, "q0 int, " + ", ".join(f"q{i} binary" for i in range(1, 8)))
+        asked = stored(asked, "gnat-asked", GROUP_BYTES)
     # A leaf with many blocks is dealt to several tasks; the anchors that ask for it are sent to each of them.
     parts = F.broadcast(parts)
     dealt = blocks.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts"))).drop("parts", "low", "high")
     asked = asked.join(parts.withColumnRenamed("leaf", "q0"), "q0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = dealt.join(asked.drop("parts").withColumnRenamed("q0", "leaf"), ["leaf", "part"]).drop("leaf", "part")
+    # A merge join holds the rows of a key from its right side: there are about TOGETHER blocks of one, but any number of questions.
+    met = asked.drop("parts").withColumnRenamed("q0", "leaf").join(dealt, ["leaf", "part"]).drop("leaf", "part")
     with handed_in_batches(spark, 8):
         found = stored(met.mapInArrow(scan, "anchor_id long, no long, vec_id long, score long"), "gnat-found")
     best = Window.partitionBy("anchor_id", "no").orderBy(F.col("score").desc(), "vec_id")

@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.llm import hard_negatives as module
+from logweave.llm.common import stored
 from logweave.llm.hard_negatives import fit, hard_negatives, products
 
 SHAPE = "vec_id long, embedding array<float>, label int, Score string, anchor_id long"
@@ -100,3 +104,39 @@ def test_rings_skip_subtrees_and_lose_none():
     inside = (scores >= low[:, None]) & (scores <= high[:, None])
     assert inside.any() and seen[inside].all()
     assert seen.mean() < 0.7
+
+
+def test_small_steps_give_the_same(spark, monkeypatch):
+    """Few scores at once and questions handed on in small lots, with anchors whose windows fall into several steps."""
+    for name, value in {"SAMPLE": 60, "LEAF": 5, "FAN": 3, "CELLS": 90, "SENT_BYTES": 300, "GROUP_BYTES": 2000}.items():
+        monkeypatch.setattr(module, name, value)
+    rows = cloud(400, seed=4) + [(1000 + i, [0.5, -0.5, 0.25, 0.0, 0.0, 0.0], i % 3) for i in range(100)]
+    assert got(spark, rows, anchors=F.col("vec_id") % 20 == 0) == brute(rows, 20) != []
+
+
+def test_memory_of_a_search_is_bounded():
+    """1000 windows against 8192 rows, most of them allowed and inside: the scores are never all there at once."""
+    rng = np.random.default_rng(3)
+    x, ids, labels = rng.integers(-200, 200, (8192, 16)), rng.permutation(8192), rng.integers(10, size=8192)
+    slot = np.repeat(np.arange(200), 5)
+    low, high = np.full(1000, module.LOW), rng.integers(0, 200_000, 1000)
+    asked = module.Windows(ids[:200], labels[:200], x[:200], slot, low, high)
+    tracemalloc.start()
+    q, r, score = asked.hits(ids, labels, x, 10, False, 1 << 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    for w in (0, 7, 999):
+        s = x[slot[w]] @ x.T
+        fits = (labels != labels[slot[w]]) & (s <= high[w])
+        want = sorted((-t, i) for t, i in zip(s[fits].tolist(), ids[fits].tolist()))[:10]
+        assert [(-t, i) for t, i in zip(score[q == w].tolist(), ids[r[q == w]].tolist())] == want
+
+
+def test_long_rows_lie_in_small_row_groups(spark):
+    rng = np.random.default_rng(4)
+    long = spark.createDataFrame([(bytes(rng.bytes(50_000)),) for _ in range(40)], "x binary").coalesce(1)
+    files = stored(long, "long-rows", 400_000).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in groups) == 40
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) <= 16

@@ -65,13 +65,16 @@ def score_formats(
     keep = [c for c in ("base_date",) if c in heads.columns]
     # heads are small but every format reads them: a fixed number of partitions uses all cores
     spread = heads.repartition(heads.sparkSession.sparkContext.defaultParallelism, "source_path")
-    fmt = FormatSet(formats, F.col("format_index"))
     text = F.split(F.regexp_replace("head", r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
     first = F.regexp_extract("head", r"\A[^\r\n]*", 0)
     tests = F.array(*[F.struct(F.lit(i).alias("format_index"), f.first_line(F.col("first")).alias("candidate")) for i, f in enumerate(formats)])
     per_format = spread.withColumn("first", first).select("source_path", *keep, "head", F.inline(tests))
+    used = None
     if candidates_only:
         per_format = per_format.filter("candidate")
+        # The tests of the first lines alone, at most one row per format.
+        used = [row.format_index for row in per_format.select("format_index").distinct().collect()]
+    fmt = FormatSet(formats, F.col("format_index"), used)
     lines = per_format.select("source_path", *keep, "format_index", "candidate", F.posexplode(text).alias("pos", "value"))
     steps = Steps(lines)
     read = steps.let(fmt.fields(steps.let, F.col("value"), _base(lines, base_date)))
@@ -130,10 +133,13 @@ def parse_detected(
     formats = list(formats if formats is not None else default_formats())
     if detected is None:
         detected = detect_formats(settle(heads_of(lines, chunk_bits=chunk_bits)), formats, base_date)
-    known = attach(lines, settle(detected), ["source_path"], how="inner")
+    detected = settle(detected)
+    # At most one row per format.
+    used = [row.format_index for row in detected.select("format_index").distinct().collect()]
+    known = attach(lines, detected, ["source_path"], how="inner")
     return parse_lines(
         known,
-        FormatSet(formats, F.col("format_index")),
+        FormatSet(formats, F.col("format_index"), used),
         base_date,
         base_year,
         keep=("format_index", *keep),

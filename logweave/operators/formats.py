@@ -250,39 +250,37 @@ def _read(let: Let, line: Column, p: dict[str, Column], base_date: Column) -> Co
 class FormatSet(LogFormat):
     """Formats looked up per row by an index column; :data:`FALLBACK` makes every line its own entry.
 
-    The patterns are arrays of literals indexed per row, so the expression has the size of one format
+    The rules are an array of literals indexed once per row and rank, so the expression has the size of one format
     however many formats there are. Spark keeps the compiled regex while the pattern stays the same from
     row to row, which it does within a source.
+
+    ``used`` names the indexes that come at all, where they are known: the expression is then only as long as they ask.
+    The JVM does not compile a method of more than 8000 bytes, and lines are then read several times slower.
     """
 
     name = "by index"
 
-    def __init__(self, formats: Sequence[LogFormat], index: Column):
+    def __init__(self, formats: Sequence[LogFormat], index: Column, used: Sequence[int] | None = None):
         self.formats = list(formats)
         self.index = index
-        self.depth = max([len(f.rules) for f in self.formats if isinstance(f, RuleFormat)] or [0])
-        self.custom = [(i, f) for i, f in enumerate(self.formats) if not isinstance(f, RuleFormat)]
-
-    def _pick(self, values) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.greatest(self.index, F.lit(0)) + 1)
-
-    def _ranks(self, base_year: int | None):
+        come = [(i, f) for i, f in enumerate(self.formats) if used is None or i in used]
+        ruled = [(i, f) for i, f in come if isinstance(f, RuleFormat)]
+        self.depth = max([len(f.rules) for _, f in ruled] or [0])
+        self.custom = [(i, f) for i, f in come if not isinstance(f, RuleFormat)]
+        # A single format needs no look-up: its rules are literals.
+        self.place = F.lit(ruled[0][0] + 1) if len(come) == len(ruled) == 1 else F.greatest(index, F.lit(0)) + 1
+
+    def _ranks(self, let: Let, base_year: int | None):
         """Per rank: the looked-up rule parts and whether the row's format has a rule of that rank."""
         for rank in range(self.depth):
             rules = [
                 f.rules[rank] if isinstance(f, RuleFormat) and rank < len(f.rules) else None for f in self.formats
             ]
             rows = [r or Rule(NEVER, (-1,) * len(FIELDS), None, False) for r in rules]
-            times = [r.time_pair(base_year) for r in rows]
-            parts = {
-                "regex": self._pick([r.regex for r in rows]),
-                "rewrite": self._pick([r.rewrite for r in rows]),
-                "time_regex": self._pick([t[0] for t in times]),
-                "time_rewrite": self._pick([t[1] for t in times]),
-                "trim": self._pick([r.trim for r in rows]),
-                **{f: self._pick([r.groups[i] for r in rows]) for i, f in enumerate(FIELDS)},
-            }
-            yield parts, self._pick([r is not None for r in rules]) & (self.index != FALLBACK)
+            table = [F.struct(*[c.alias(n) for n, c in _literals(r, base_year).items()], F.lit(x is not None).alias("has")) for r, x in zip(rows, rules)]
+            rule = let(F.element_at(F.array(*table), self.place))
+            parts = {n: rule[n] for n in _literals(rows[0], base_year)}
+            yield parts, rule["has"] & (self.index != FALLBACK)
 
     def first_line(self, line):
         test = F.lit(False)
@@ -292,7 +290,7 @@ class FormatSet(LogFormat):
 
     def starts(self, let, line, base_date, base_year=None):
         test = F.lit(False)
-        for p, has_rule in self._ranks(base_year):
+        for p, has_rule in self._ranks(let, base_year):
             # a row without a rule of this rank gets a null line and skips the regex
             test = test | _start(let, F.when(has_rule, line), p, base_date)
         for i, f in self.custom:
@@ -301,7 +299,7 @@ class FormatSet(LogFormat):
 
     def fields(self, let, line, base_date, base_year=None):
         none = F.lit(None).cast(FIELDS_TYPE)
-        reads = [_read(let, F.when(has_rule, line), p, base_date) for p, has_rule in self._ranks(base_year)]
+        reads = [_read(let, F.when(has_rule, line), p, base_date) for p, has_rule in self._ranks(let, base_year)]
         out = F.coalesce(*reads, none)
         for i, f in self.custom:
             out = F.when(self.index == i, f.fields(let, line, base_date, base_year)).otherwise(out)

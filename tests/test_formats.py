@@ -1,13 +1,14 @@
 """Known log snippets through detection, parsing and stitching."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators.detect import parse_detected
 from logweave.operators.formats import ColumnFormat, FormatSet, Layout, Mixed, RegexFormat, default_formats
-from logweave.operators.parse import parse_lines, read_lines
+from logweave.operators.parse import flag_starts, parse_lines, read_lines
 
 BASE = "2024-06-15"
 
@@ -257,3 +258,32 @@ def test_index_lookup_equals_single_format(spark):
     for i, v in lines.items():
         assert by_index[i] == read(spark, formats[i], v)[0]
         assert by_index[i].timestamp is not None
+
+
+MANY = [
+    (0, "2023-10-27 10:00:00,808 INFO [io.q] (main) a"), (1, "2023-10-27 10:00:00.123 [main] INFO  de.shop.Main - started"),
+    (1, "2023-10-27 10:00:00.123 [ma\x01in] INFO  de.shop.Main - sta\x01rted"), (1, "no start"), (1, None),
+    (16, "2025-12-25 08:00:01.592 UTC [25] LOG checkpoint"), (16, "2025-12-25 08:00:01,592 LOG: checkpoint"), (-1, "any"),
+]
+
+
+@pytest.mark.parametrize("used", [[1, -1], [0, 1], [16], [-1], []])
+def test_formats_that_come_read_as_all_formats_do(spark, used):
+    formats = default_formats()
+    df = spark.createDataFrame([(n, i, v) for n, (i, v) in enumerate(MANY) if i in used], "n int, i int, value string")
+
+    def both(*known):
+        fmt = FormatSet(formats, F.col("i"), *known)
+        return sorted((r.n, r.is_start, r.fields) for r in flag_starts(read_lines(df, fmt, base_date=BASE), fmt, base_date=BASE).collect())
+
+    assert both(used) == both()
+
+
+@pytest.mark.parametrize("used", [[1, -1], [0, 1, 5]])
+def test_reading_few_formats_is_compiled(spark, capsys, used):
+    """The JVM leaves methods of more than 8000 bytes uncompiled; the look-up of all formats made longer ones."""
+    df = spark.createDataFrame([(i, v) for i, v in MANY if i in used], "i int, value string").withColumn("base_date", F.current_date())
+    for read_with in (flag_starts, read_lines):
+        read_with(df, FormatSet(default_formats(), F.col("i"), used)).explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000

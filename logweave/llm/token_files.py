@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ FILE_BYTES = 32 << 20
 FILE_DOCS = 1 << 18
 # What a worker remembers at most: words with their ids, and bytes of such words. Bytes of text encoded at once, words encoded
 # in a row, and rows that are handed to a worker at once.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 REMEMBERED_BYTES = 16 << 20
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 21
 TOGETHER = 64
 HANDED = 500
 
@@ -69,9 +70,13 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
-def _in_a_row(word: bytes) -> bool:
-    """Words that begin with a blank before a known character and end in ASCII keep their borders when put in a row."""
-    return len(word) > 1 and word[0] == 32 and _KIND[word[-1]] > 0 and (_KIND[word[1]] > 0 or (word[1] == 0xC3 and _LATIN[word[2]]))
+def _in_a_row(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the words between the borders ``at`` keep their borders when put in a row: those that begin with a blank
+    before a known character and end in ASCII."""
+    first, last = at[:-1], at[1:] - 1
+    second = np.minimum(first + 1, last)
+    known = (_KIND[data[second]] > 0) | ((data[second] == 0xC3) & _LATIN[data[np.minimum(first + 2, last)]])
+    return (data[first] == 32) & known & (_KIND[data[last]] > 0)
 
 
 class SeekableWriter:
@@ -156,7 +161,7 @@ class Encoder:
 
     Pieces of such a tokenizer do not influence each other, so a text may be cut where a piece starts whatever stands
     around (:func:`cuts`) and its ids are those of the cuts in a row. Texts with the string of an added token are
-    encoded whole. What is remembered is bounded in words and bytes.
+    encoded whole. What is remembered is bounded in words and bytes; when it is full, the words met most often stay.
     """
 
     def __init__(self, path: str):
@@ -167,38 +172,77 @@ class Encoder:
         self.size = np.zeros(self.vocabulary, np.int64)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.size[number] = len(token)
-        self._forget()
+        # Of the known words in turn: the words, all ids in a row, where each word's end (and the first one begins), times met.
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+        # Hashes of the known words in ascending order, and the place of each among the known words.
+        self.hashes, self.placed = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the known words ``place`` in a row, and where each word's end (and the first one begins)."""
+        start = self.ends[place]
+        size = self.ends[place + 1] - start
+        done = np.concatenate([[0], np.cumsum(size)])
+        source = np.repeat(start - done[:-1], size)
+        source += np.arange(done[-1])
+        return self.flat[source], done
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.known_bytes = 0
-        # All ids of the known words in a row, and where each word's end (and the first one begins).
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the words met most often, up to half of what may be remembered; older meetings count half from then on."""
+        size = pc.binary_length(self.known).to_numpy()
+        stay = np.argsort(-self.met, kind="stable")[: REMEMBERED // 2]
+        stay = np.sort(stay[np.cumsum(size[stay]) <= REMEMBERED_BYTES // 2])
+        number = np.full(len(self.known), -1)
+        number[stay] = np.arange(len(stay))
+        placed = number[self.placed]
+        self.hashes, self.placed = self.hashes[placed >= 0], placed[placed >= 0]
+        self.known, self.met = self.known.take(pa.array(stay)), self.met[stay] // 2
+        self.flat, self.ends = self._gather(stay)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _places(self, words: list[bytes]) -> np.ndarray:
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word among the known ones, -1 where it is not known. Words of equal hash are told apart."""
+        if not len(self.known):
+            return np.full(len(words), -1)
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = self.placed[near]
+        same = np.flatnonzero(self.hashes[near] == hashes)
+        equal = pc.equal(words.take(pa.array(same)), self.known.take(pa.array(place[same])))
+        found = np.full(len(words), -1)
+        same = same[equal.to_numpy(zero_copy_only=False)]
+        found[same] = place[same]
+        return found
+
+    def _places(self, words: pa.Array) -> np.ndarray:
         """Number of each word among the known ones; unknown ones are encoded. ``words`` are distinct."""
-        found = list(map(self.known.get, words))
-        new = [w for w, k in zip(words, found, strict=True) if k is None]
-        if not new:
-            return np.array(found, np.int64)
+        hashes = np.fromiter(map(hash, words.to_numpy(zero_copy_only=False)), np.int64, len(words))
+        place = self._find(words, hashes)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
         # The byte lengths of the ids tell which are whose when words stand in a row.
-        inner = [w for w in new if _in_a_row(w)]
-        ordered = inner + [w for w in new if not _in_a_row(w)]
-        at = len(self.known)
-        self.known.update(zip(ordered, range(at, at + len(ordered)), strict=True))
-        texts = [b"".join(inner[k : k + TOGETHER]).decode() for k in range(0, len(inner), TOGETHER)]
-        texts += [w.decode() for w in ordered[len(inner) :]]
-        ids = [np.fromiter(i, np.uint32, len(i)) for k in range(0, len(texts), 256) for i in self._encode(texts[k : k + 256])]
-        ids = np.concatenate(ids)
-        ends = np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
-        self.known_bytes += int(ends[-1])
-        stop = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-        self.ends = np.concatenate([self.ends, self.ends[-1] + stop])
+        together = _in_a_row(*text_bytes(words))[new]
+        new, rows = np.concatenate([new[together], new[~together]]), int(together.sum())
+        added = words.take(pa.array(new))
+        data, at = text_bytes(added)
+        raw = data.tobytes()
+        borders = at[[*range(0, rows, TOGETHER), *range(rows, len(new) + 1)]].tolist()
+        texts = [raw[i:j].decode() for i, j in pairwise(borders)]
+        ids = [i for k in range(0, len(texts), 256) for i in self._encode(texts[k : k + 256])]
+        ids = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        stop = np.searchsorted(np.cumsum(self.size[ids]), at[1:]) + 1
+        place[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, added])
         self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + stop])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        new = new[np.argsort(hashes[new])]
+        to = np.searchsorted(self.hashes, hashes[new])
+        self.hashes, self.placed = np.insert(self.hashes, to, hashes[new]), np.insert(self.placed, to, place[new])
+        return place
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text in turn; nulls are empty texts. A text that repeats the one before it is not encoded again."""
@@ -232,18 +276,22 @@ class Encoder:
         words = pa.Array.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(part)).astype(np.int64)), pa.py_buffer(part)]
         ).dictionary_encode()
-        if len(self.known) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
+        if len(self.known) > REMEMBERED or pc.sum(pc.binary_length(self.known), min_count=0).as_py() > REMEMBERED_BYTES:
             self._forget()
-        place = self._places(words.dictionary.to_pylist())[np.asarray(words.indices)]
-        start = self.ends[place]
-        size = self.ends[place + 1] - start
-        done = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(start - done[:-1], size) + np.arange(done[-1])]
+        place, which = self._places(words.dictionary), np.asarray(words.indices)
+        self.met[place] += np.bincount(which, minlength=len(place))
+        ids, done = self._gather(place[which])
         first = done[np.searchsorted(begin, at)]
         for k in range(len(at) - 1):
             yield whole[k] if k in whole else ids[first[k] : first[k + 1]]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker, with the words that it met in earlier tasks."""
+    return Encoder(path)
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -261,7 +309,7 @@ def write_token_files(
     rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)

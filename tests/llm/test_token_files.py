@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.fs
 import pytest
 
+from logweave.llm import token_files
 from logweave.llm.token_files import Encoder, SeekableReader, SeekableWriter, token_output, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -25,6 +26,26 @@ def test_cut_texts_have_the_ids_of_whole_texts():
     assert got == [plain(t)[:-1] for t in TEXTS]
 
 
+def test_words_met_often_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    monkeypatch.setattr(token_files, "ENCODE_BYTES", 200)
+    encoder, sent = Encoder(PATH), []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: sent.extend(texts) or encode(texts))
+    rare = ["".join(chr(97 + int(d)) for d in str(i * 7919)) for i in range(300)]
+    texts = [f"It was often seen q{a} z{a}" for a in rare]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == [plain(t)[:-1] for t in texts]
+    assert len(encoder.known) < 100
+    assert sum(t.count(" often") for t in sent) == 1
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "hash", lambda word: len(word) % 3, raising=False)
+    encoder = Encoder(PATH)
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.encode(pa.array(TEXTS))] == [plain(t)[:-1] for t in TEXTS]
+
+
 def test_round_trip_of_a_file_and_damage(tmp_path):
     store = pyarrow.fs.LocalFileSystem()
     docs = [(7, np.array([1, 2, 50256], np.uint32)), (None, np.zeros(0, np.uint32)), (9, np.arange(5000, dtype=np.uint32))]

@@ -276,11 +276,11 @@ class Encoder:
         words = pa.Array.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(part)).astype(np.int64)), pa.py_buffer(part)]
         ).dictionary_encode()
-        if len(self.known) > REMEMBERED or pc.sum(pc.binary_length(self.known), min_count=0).as_py() > REMEMBERED_BYTES:
-            self._forget()
         place, which = self._places(words.dictionary), np.asarray(words.indices)
         self.met[place] += np.bincount(which, minlength=len(place))
         ids, done = self._gather(place[which])
+        if len(self.known) > REMEMBERED or pc.sum(pc.binary_length(self.known), min_count=0).as_py() > REMEMBERED_BYTES:
+            self._forget()
         first = done[np.searchsorted(begin, at)]
         for k in range(len(at) - 1):
             yield whole[k] if k in whole else ids[first[k] : first[k + 1]]
